@@ -140,27 +140,28 @@ def key_bits(key: Column | str) -> Column:
 
 
 def _v6_text(key: Column) -> Column:
-    parts = [
-        F.coalesce(F.nullif(F.ltrim(F.substring(key, 1 + 4 * i, 4), F.lit("0")), F.lit("")), F.lit("0"))
-        for i in range(8)
-    ]
+    """Eight groups without leading zeros; the first longest zero run is cut."""
+    groups = F.transform(
+        F.sequence(F.lit(0), F.lit(7)),
+        lambda i: F.regexp_replace(F.substr(key, i * 4 + 1, F.lit(4)), "^0{1,3}", ""),
+    )
 
     def shorten(long_form: Column) -> Column:
-        text = long_form
-        for run in range(2, 9):  # the longest run is tested first, so build inside out
-            pattern = rf"^(|.*?:)0(?::0){{{run - 1}}}(|:.*)$"
-            head = F.regexp_extract(long_form, pattern, 1)
-            tail = F.regexp_extract(long_form, pattern, 2)
-            short = F.concat(
-                F.when(head == "", F.lit(":")).otherwise(head),
-                F.when(tail == "", F.lit(":")).otherwise(tail),
-            )
-            text = F.when(long_form.rlike(pattern), short).otherwise(text)
-        return text
+        runs = F.regexp_extract_all(long_form, F.lit("(?:^|:)(0(?::0)+)(?=:|$)"), F.lit(1))
+        run = F.array_max(F.transform(runs, lambda r, i: F.struct(F.length(r).alias("n"), (-i).alias("i"), r.alias("r"))))["r"]
+        padded = F.concat(F.lit(":"), long_form, F.lit(":"))
+
+        def cut(r: Column) -> Column:
+            at = F.call_function("instr", padded, F.concat(F.lit(":"), r, F.lit(":")))
+            head = F.substr(padded, F.lit(2), at - 2)
+            tail = F.rtrim(F.substr(padded, at + F.length(r) + 2), F.lit(":"))
+            return F.when(r.isNull(), long_form).otherwise(F.concat(head, F.lit("::"), tail))
+
+        return let(run, cut)
 
     mapped = F.concat(F.lit("::ffff:"), ipv4_text(key_num(F.substring(key, 25, 8))))
     return F.when(key.startswith("0" * 20 + "ffff"), mapped).otherwise(
-        let(F.concat_ws(":", *parts), shorten)
+        let(F.array_join(groups, ":"), shorten)
     )
 
 
@@ -208,17 +209,15 @@ def mask_key(key: Column | str, prefix: Column, fill: int) -> Column:
 
 def _v4_mask_prefix(text: Column) -> Column:
     """Prefix length of a dotted netmask or hostmask."""
-    full = 2**32 - 1
 
-    def quad(n: int) -> str:
-        return ".".join(str((n >> s) & 255) for s in (24, 16, 8, 0))
+    def ones(host: Column) -> Column:  # number of host bits of 2**k - 1
+        contiguous = host.bitwiseAND(host + 1) == 0
+        return F.when(contiguous, F.length(F.regexp_replace(F.bin(host), "^0$", "")))
 
-    netmasks = F.array(*[F.lit(quad((full << (32 - p)) & full)) for p in range(33)])
-    hostmasks = F.array(*[F.lit(quad(full >> p)) for p in range(33)])
-    return F.coalesce(
-        F.nullif(F.array_position(netmasks, text), F.lit(0).cast("bigint")) - 1,
-        F.nullif(F.array_position(hostmasks, text), F.lit(0).cast("bigint")) - 1,
-    ).cast("int")
+    return let(
+        ipv4_num(text),
+        lambda m: F.lit(32) - F.coalesce(ones(F.lit(2**32 - 1) - m), ones(m)),
+    )
 
 
 def network(text: Column | str) -> Column:
@@ -261,8 +260,8 @@ def network_text(lo: Column | str, prefix: Column | str) -> Column:
 def network_size(prefix: Column, bits: Column, cap: int = MAX_UNITS) -> Column:
     """Number of addresses, saturating at `cap`."""
     exponent = (bits - prefix).cast("int")
-    return F.when(exponent >= 63, F.lit(cap)).otherwise(
-        F.call_function("shiftleft", F.lit(1).cast("bigint"), F.least(exponent, F.lit(62)))
+    return F.when(exponent >= 63, F.lit(cap)).when(
+        exponent.isNotNull(), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.least(exponent, F.lit(62)))
     )
 
 
@@ -275,21 +274,55 @@ def _key_of(text: str) -> tuple[str, str]:
     return format(int(net[0]), f"0{digits}x"), format(int(net[-1]), f"0{digits}x")
 
 
-def _inside(lo: Column, hi: Column, blocks: tuple[str, ...]) -> Column:
-    cond = F.lit(False)
-    for block in blocks:
-        first, last = _key_of(block)
-        cond = cond | ((lo >= first) & (hi <= last))
-    return cond
+def _blocks(*groups: tuple[str, ...]) -> Column:
+    """Constant blocks as one folded array of ``first-last`` key texts."""
+    texts = ["-".join(_key_of(block)) for group in groups for block in group]
+    return F.split(F.lit(",".join(texts)), ",")
 
 
 def _is_private_keys(lo: Column, hi: Column) -> Column:
-    def private(blocks: tuple[str, ...], public: tuple[str, ...]) -> Column:
-        return _inside(lo, hi, blocks) & ~_inside(lo, lo, public) & ~_inside(hi, hi, public)
+    def inside(key: Column, block: Column) -> Column:
+        first, last = F.substring_index(block, "-", 1), F.substring_index(block, "-", -1)
+        return (F.length(first) == F.length(key)) & key.between(first, last)
+
+    private = F.exists(_blocks(PRIVATE_V4, PRIVATE_V6), lambda b: inside(lo, b) & inside(hi, b))
+    public = F.exists(_blocks(PUBLIC_V4, PUBLIC_V6), lambda b: inside(lo, b) | inside(hi, b))
+    return F.when(lo.isNotNull(), private & ~public)
+
+
+def target(text: Column | str) -> Column:
+    """Parse a scan target once: ``struct(kind, value, version, prefix, lo, hi)``.
+
+    kind is `fqdn`, `address`, `network` or `invalid` (private or malformed);
+    value is the canonical text of a valid target.
+    """
+    text = col(text)
 
-    v4 = private(PRIVATE_V4, PUBLIC_V4)
-    v6 = private(PRIVATE_V6, PUBLIC_V6)
-    return F.when(F.length(lo) == 8, v4).when(F.length(lo) == 32, v6)
+    def classify(net: Column) -> Column:
+        single = ~text.contains("/")
+        mapped = single & (F.length(net["lo"]) == 32) & net["lo"].startswith("0" * 20 + "ffff")
+        effective = F.when(mapped, F.substring(net["lo"], 25, 8)).otherwise(net["lo"])
+        last = F.when(mapped, effective).otherwise(net["hi"])
+        public = F.coalesce(~let(F.struct(effective.alias("lo"), last.alias("hi")), lambda e: _is_private_keys(e["lo"], e["hi"])), F.lit(False))
+        kind = F.when(is_fqdn(text), "fqdn").when(public & single, "address").when(public, "network").otherwise("invalid")
+        return F.struct(kind.alias("kind"), net.alias("net"))
+
+    def describe(t: Column) -> Column:
+        net = t["net"]
+        place = t["kind"].isin("address", "network")
+        value = F.when(t["kind"] == "fqdn", text).when(
+            place,
+            F.concat(
+                key_text(net["lo"]),
+                F.when(t["kind"] == "network", F.concat(F.lit("/"), net["prefix"].cast("string"))).otherwise(""),
+            ),
+        )
+        return F.struct(
+            t["kind"].alias("kind"), value.alias("value"),
+            *[F.when(place, net[c]).alias(c) for c in ("version", "prefix", "lo", "hi")],
+        )
+
+    return let(let(network(text), classify), describe)
 
 
 def is_public_address(text: Column | str) -> Column:
@@ -315,11 +348,7 @@ def is_public_network(text: Column | str) -> Column:
 
 def canonical_target(text: Column | str) -> Column:
     """Canonical text of a public address or network, else null."""
-    text = col(text)
-    return F.when(is_public_address(text), key_text(address_key(text))).when(
-        text.contains("/") & is_public_network(text),
-        let(network(text), lambda net: network_text(net["lo"], net["prefix"])),
-    )
+    return let(target(text), lambda t: F.when(t["kind"] != "fqdn", t["value"]))
 
 
 def in_network(key: Column | str, cidr: str) -> Column:
@@ -420,7 +449,7 @@ def unit_count(text: Column | str) -> Column:
 def unit_count_list(text: Column | str) -> Column:
     """Saturating sum over a comma list, at least 1."""
     parts = F.filter(
-        F.transform(F.split(F.coalesce(col(text), F.lit("")), ","), F.trim), lambda p: p != ""
+        F.transform(F.split(F.coalesce(col(text), F.lit("")), ","), lambda p: F.trim(p)), lambda p: p != ""
     )
     total = F.aggregate(
         F.transform(parts, unit_count),
@@ -443,10 +472,4 @@ def is_fqdn(text: Column | str) -> Column:
 
 def target_kind(text: Column | str) -> Column:
     """`fqdn`, `address`, `network` or `invalid` (private or malformed)."""
-    text = col(text)
-    return (
-        F.when(is_fqdn(text), "fqdn")
-        .when(is_public_address(text), "address")
-        .when(is_public_network(text), "network")
-        .otherwise("invalid")
-    )
+    return target(text)["kind"]
