@@ -14,6 +14,10 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+}
+
+# Start-up settings worth giving to the session builder.
+STARTUP = {
     # call-site capture costs one JVM round trip per expression node
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
