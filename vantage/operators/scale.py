@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 BROADCAST_ROWS = 200_000
 
@@ -19,6 +20,9 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
 
 
 def _literal(value, data_type) -> Column:
+    if isinstance(data_type, StructType):
+        parts = [_literal(v, f.dataType).alias(f.name) for v, f in zip(value, data_type.fields)]
+        return F.struct(*parts)
     return F.lit(value).cast(data_type)
 
 
