@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vantage.functions.text import clean
@@ -85,13 +85,15 @@ def export_ips(hits: DataFrame, path: str) -> None:
 
 def export_rules(rules: DataFrame, path: str, version: str) -> None:
     """Every rule as text below a folder named after its file, one version stamp."""
-    tags = F.array_join(F.transform("tags", lambda t: F.concat(F.lit("- "), t)), "\n")
-    quoted = lambda c: F.to_json(F.struct(F.col(c).alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col(c).alias("v")))) - 6)
+    def quoted(column) -> Column:  # a JSON string is a YAML double-quoted scalar
+        whole = F.to_json(F.struct(column.alias("v")))
+        return F.regexp_replace(whole, r'^\{"v":|\}$', "")
+
+    tags = F.array_join(F.transform("tags", lambda t: F.concat(F.lit("- "), quoted(t))), "\n")
     text = F.concat(
-        F.lit("description: "), quoted("description"), F.lit("\nquery: "), quoted("query"),
+        F.lit("description: "), quoted(F.col("description")), F.lit("\nquery: "), quoted(F.col("query")),
         F.lit("\ntags:\n"), tags, F.lit(f"\nversion: {version}"),
     )
     file = F.concat(F.lower(F.replace("name", F.lit(" "), F.lit("_"))), F.lit(".yaml"))
-    rules.select(file.alias("file"), text.alias("value")).repartitionByRange("file").write.mode("overwrite").partitionBy(
-        "file"
-    ).text(path)
+    rows = rules.select(file.alias("file"), text.alias("value"))
+    rows.write.mode("overwrite").partitionBy("file").text(path)
