@@ -10,7 +10,7 @@ import importlib
 
 from catalog.base import ORACLES, QUERIES
 
-MODULES = ("search_queries", "store_queries", "range_queries", "expression_queries", "rule_queries")
+MODULES = ("search_queries", "store_queries", "range_queries", "expression_queries", "rule_queries", "coverage_queries")
 _LATER = (
     "search_queries", "store_queries", "expression_queries", "range_queries",
     "rule_queries", "coverage_queries", "shape_queries", "source_queries",
