@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from vantage.functions import netaddr as N
 from vantage.operators.scale import running
@@ -129,7 +130,10 @@ def reduce_ranges(networks: DataFrame) -> DataFrame:
 # ranges and CIDR lists
 
 
-@F.pandas_udf("array<struct<lo:string,prefix:int>>")
+_BLOCKS = ArrayType(StructType([StructField("lo", StringType()), StructField("prefix", IntegerType())]))
+
+
+@F.pandas_udf(_BLOCKS)
 def _range_blocks_v6(lo: pd.Series, hi: pd.Series) -> pd.Series:
     """Minimal cover of IPv6 ranges; 128-bit numbers do not exist in Spark."""
     import ipaddress

@@ -86,12 +86,16 @@ def content_hash(port: Column) -> Column:
     """sha256 over the canonical JSON of one shaped port.
 
     Scripts are ordered by id and output, payload keys are sorted (VARIANT
-    objects keep them so), and the old hash field takes no part.
+    objects keep them so), and the old hash field takes no part.  The id and
+    output inside the payload are the uncleaned ones and are left out.
     """
-    scripts = F.transform(
-        port["scripts"],
-        lambda s: F.struct(s["id"].alias("id"), s["output"].alias("output"), F.to_json(s["payload"]).alias("payload")),
-    )
+
+    def plain(s: Column) -> Column:
+        keys = F.try_variant_get(s["payload"], "$", "map<string,variant>")
+        rest = F.map_filter(keys, lambda k, _: ~k.isin("id", "output"))
+        return F.struct(s["id"].alias("id"), s["output"].alias("output"), F.to_json(rest).alias("payload"))
+
+    scripts = F.transform(port["scripts"], plain)
     canonical = F.struct(
         port["portid"].alias("portid"), port["protocol"].alias("protocol"),
         port["service"].alias("service"), F.array_sort(scripts).alias("scripts"),

@@ -11,7 +11,10 @@ from vantage.functions.times import epoch
 
 def write_docs(docs: DataFrame, path: str) -> None:
     """One JSON object per document, foldered by the first character of the id."""
-    docs.withColumn("shard", F.substring("id", 1, 1)).write.mode("overwrite").partitionBy("shard").json(path)
+    text = F.to_json(F.struct(*[c for c in docs.columns]))
+    docs.select(text.alias("value"), F.substring("id", 1, 1).alias("shard")).write.mode("overwrite").partitionBy(
+        "shard"
+    ).text(path)
 
 
 def write_seen_companions(docs: DataFrame, path: str) -> None:
