@@ -105,9 +105,9 @@ def ipv6_key(text: Column | str) -> Column:
         return F.filter(F.split(part, ":"), lambda g: g != "")
 
     def expand(t: Column) -> Column:
-        sides = F.struct(
-            groups(F.substring_index(t, "::", 1)).alias("left"),
-            groups(F.substring_index(t, "::", -1)).alias("right"),
+        sides = F.named_struct(
+            F.lit("left"), groups(F.substring_index(t, "::", 1)),
+            F.lit("right"), groups(F.substring_index(t, "::", -1)),
         )
 
         def short(side: Column) -> Column:
@@ -148,7 +148,7 @@ def _v6_text(key: Column) -> Column:
 
     def shorten(long_form: Column) -> Column:
         runs = F.regexp_extract_all(long_form, F.lit("(?:^|:)(0(?::0)+)(?=:|$)"), F.lit(1))
-        run = F.array_max(F.transform(runs, lambda r, i: F.struct(F.length(r).alias("n"), (-i).alias("i"), r.alias("r"))))["r"]
+        run = F.array_max(F.transform(runs, lambda r, i: F.named_struct(F.lit("n"), F.length(r), F.lit("i"), (-i), F.lit("r"), r)))["r"]
         padded = F.concat(F.lit(":"), long_form, F.lit(":"))
 
         def cut(r: Column) -> Column:
@@ -204,7 +204,7 @@ def mask_key(key: Column | str, prefix: Column, fill: int) -> Column:
             F.repeat(F.lit("f" if fill else "0"), F.greatest(F.length(key) - whole - 1, F.lit(0))),
         )
 
-    return let(F.struct(col(key).alias("key"), prefix.cast("int").alias("prefix")), masked)
+    return let(F.named_struct(F.lit("key"), col(key), F.lit("prefix"), prefix.cast("int")), masked)
 
 
 def _v4_mask_prefix(text: Column) -> Column:
@@ -228,25 +228,25 @@ def network(text: Column | str) -> Column:
     """
 
     def parts(t: Column) -> Column:
-        return F.struct(
-            address_key(F.substring_index(t, "/", 1)).alias("key"),
-            F.when(t.contains("/"), F.regexp_replace(t, "^[^/]*/", "")).alias("mask"),
+        return F.named_struct(
+            F.lit("key"), address_key(F.substring_index(t, "/", 1)),
+            F.lit("mask"), F.when(t.contains("/"), F.regexp_replace(t, "^[^/]*/", "")),
         )
 
     def with_prefix(p: Column) -> Column:
         number = F.when(p["mask"].rlike("^[0-9]+$"), p["mask"].try_cast("int"))
         dotted = F.when(F.length(p["key"]) == 8, _v4_mask_prefix(p["mask"]))
         prefix = F.when(p["mask"].isNull(), key_bits(p["key"])).otherwise(F.coalesce(number, dotted))
-        return F.struct(p["key"].alias("key"), prefix.cast("int").alias("prefix"))
+        return F.named_struct(F.lit("key"), p["key"], F.lit("prefix"), prefix.cast("int"))
 
     def bounds(p: Column) -> Column:
         return F.when(
             (p["prefix"] >= 0) & (p["prefix"] <= key_bits(p["key"])),
-            F.struct(
-                key_version(p["key"]).alias("version"),
-                p["prefix"].alias("prefix"),
-                mask_key(p["key"], p["prefix"], 0).alias("lo"),
-                mask_key(p["key"], p["prefix"], 1).alias("hi"),
+            F.named_struct(
+                F.lit("version"), key_version(p["key"]),
+                F.lit("prefix"), p["prefix"],
+                F.lit("lo"), mask_key(p["key"], p["prefix"], 0),
+                F.lit("hi"), mask_key(p["key"], p["prefix"], 1),
             ),
         )
 
@@ -303,9 +303,9 @@ def target(text: Column | str) -> Column:
         mapped = single & (F.length(net["lo"]) == 32) & net["lo"].startswith("0" * 20 + "ffff")
         effective = F.when(mapped, F.substring(net["lo"], 25, 8)).otherwise(net["lo"])
         last = F.when(mapped, effective).otherwise(net["hi"])
-        public = F.coalesce(~let(F.struct(effective.alias("lo"), last.alias("hi")), lambda e: _is_private_keys(e["lo"], e["hi"])), F.lit(False))
+        public = F.coalesce(~let(F.named_struct(F.lit("lo"), effective, F.lit("hi"), last), lambda e: _is_private_keys(e["lo"], e["hi"])), F.lit(False))
         kind = F.when(is_fqdn(text), "fqdn").when(public & single, "address").when(public, "network").otherwise("invalid")
-        return F.struct(kind.alias("kind"), net.alias("net"))
+        return F.named_struct(F.lit("kind"), kind, F.lit("net"), net)
 
     def describe(t: Column) -> Column:
         net = t["net"]
@@ -391,10 +391,10 @@ def address_order(text: Column | str) -> Column:
     text = col(text)
     return let(
         address_key(text),
-        lambda key: F.struct(
-            F.coalesce(key_version(key), F.lit(99)).alias("version"),
-            F.coalesce(key, F.lit("")).alias("key"),
-            F.when(key.isNull(), text).otherwise(F.lit("")).alias("text"),
+        lambda key: F.named_struct(
+            F.lit("version"), F.coalesce(key_version(key), F.lit(99)),
+            F.lit("key"), F.coalesce(key, F.lit("")),
+            F.lit("text"), F.when(key.isNull(), text).otherwise(F.lit("")),
         ),
     )
 
@@ -425,7 +425,7 @@ def range_blocks_v4(lo: Column | str, hi: Column | str) -> Column:
 
         kept = F.filter(F.array_distinct(F.array(first, last)), belongs)
         return F.transform(
-            kept, lambda b: F.struct(b.alias("start"), (F.lit(32) - exp).cast("int").alias("prefix"))
+            kept, lambda b: F.named_struct(F.lit("start"), b, F.lit("prefix"), (F.lit(32) - exp).cast("int"))
         )
 
     return F.array_sort(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(32)), blocks)))

@@ -53,10 +53,10 @@ def is_header_name(text: Column | str) -> Column:
 def port_order(port: Column | str) -> Column:
     """Sort key: numeric ports by number, anything else after them by text."""
     number = col(port).try_cast("int")
-    return F.struct(
-        F.when(number.isNull(), 1).otherwise(0).alias("kind"),
-        F.coalesce(number, F.lit(0)).alias("number"),
-        col(port).alias("text"),
+    return F.named_struct(
+        F.lit("kind"), F.when(number.isNull(), 1).otherwise(0),
+        F.lit("number"), F.coalesce(number, F.lit(0)),
+        F.lit("text"), col(port),
     )
 
 

@@ -19,6 +19,7 @@ from vantage.functions.times import epoch
 from vantage.operators.rules import tag_documents
 from vantage.operators.store import replace_field
 from vantage.schema import FIELDS
+from vantage.session import materialize
 
 MAX_SUFFIXES = 100_000
 MAX_HEADERS = 100_000
@@ -126,9 +127,9 @@ def header_pairs(lines: Column) -> Column:
         return F.regexp_replace(clean(line), r"^\|_*\s*", "")
 
     def pair(line: Column) -> Column:
-        return F.struct(
-            F.lower(F.regexp_extract(line, HEADER_RE, 1)).alias("name"),
-            F.lower(F.regexp_extract(line, HEADER_RE, 2)).alias("value"),
+        return F.named_struct(
+            F.lit("name"), F.lower(F.regexp_extract(line, HEADER_RE, 1)),
+            F.lit("value"), F.lower(F.regexp_extract(line, HEADER_RE, 2)),
         )
 
     return F.filter(F.transform(F.transform(lines, plain), pair), lambda p: p["name"] != "")
@@ -178,11 +179,11 @@ def hostname_parts(name: Column, config: Config) -> Column:
             root = F.substr(h, F.lit(1), F.length(h) - F.length(suffix) - 1)
             return F.when(
                 suffix.isNotNull(),
-                F.struct(
-                    h.alias("fqdn"),
-                    F.regexp_replace(root, r"(^|\.)[^.]*$", "").alias("host"),
-                    F.concat(F.substring_index(root, ".", -1), F.lit("."), suffix).alias("domain"),
-                    suffix.alias("tld"),
+                F.named_struct(
+                    F.lit("fqdn"), h,
+                    F.lit("host"), F.regexp_replace(root, r"(^|\.)[^.]*$", ""),
+                    F.lit("domain"), F.concat(F.substring_index(root, ".", -1), F.lit("."), suffix),
+                    F.lit("tld"), suffix,
                 ),
             )
 
@@ -304,9 +305,13 @@ def extract_with(docs_raw: DataFrame, config: Config, fields: tuple[str, ...] =
 def extract(
     docs_raw: DataFrame, suffixes: DataFrame, headers: DataFrame, rules: tuple[DataFrame, DataFrame] | None = None
 ) -> DataFrame:
-    """Searchable documents, tagged when rule tables are given."""
+    """Searchable documents, tagged when rule tables are given.
+
+    Tagging reads the documents several times, so the extracted ones are written
+    to the shared folder first: they are parsed once and survive lost executors.
+    """
     docs = extract_with(docs_raw, load_config(suffixes, headers))
-    return tag_documents(docs, *rules) if rules else docs
+    return tag_documents(materialize(docs, "extracted"), *rules) if rules else docs
 
 
 def backfill_field(docs: DataFrame, docs_raw: DataFrame, name: str, config: Config) -> DataFrame:

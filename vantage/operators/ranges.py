@@ -335,7 +335,7 @@ def pack_ranges(ranges: DataFrame, size: int = CHUNK_ADDRESSES) -> DataFrame:
     )
     key = F.concat("base", F.lpad(F.lower(F.hex("c.start")), 2, "0"))
     prefix = F.length(key) * 4 - (32 - F.col("c.prefix"))
-    cidrs = cidrs.select("item", F.struct(F.length(key).alias("l"), key.alias("k"), prefix.cast("int").alias("p")).alias("c"))
+    cidrs = cidrs.select("item", F.named_struct(F.lit("l"), F.length(key), F.lit("k"), key, F.lit("p"), prefix.cast("int")).alias("c"))
     lists = cidrs.groupBy("item").agg(F.array_sort(F.collect_list("c")).alias("c")).select(
         "item", F.transform("c", lambda c: N.network_text(c["k"], c["p"])).alias("cidrs")
     )
@@ -350,7 +350,7 @@ def _merge_spans(spans: Column) -> Column:
         top = F.element_at(acc, -1)
         joined = F.concat(
             F.slice(acc, F.lit(1), F.size(acc) - 1),
-            F.array(F.struct(top["b0"].alias("b0"), F.greatest(top["b1"], s["b1"]).alias("b1"))),
+            F.array(F.named_struct(F.lit("b0"), top["b0"], F.lit("b1"), F.greatest(top["b1"], s["b1"]))),
         )
         return F.when((F.size(acc) > 0) & (s["b0"] <= top["b1"] + 1), joined).otherwise(F.concat(acc, F.array(s)))
 
@@ -360,7 +360,7 @@ def _merge_spans(spans: Column) -> Column:
 def pack_names(names: DataFrame, order: list[Column], size: int = CHUNK_ADDRESSES) -> DataFrame:
     """Names in due order, `size` per work item: rows ``(item, names, ids)``."""
     placed = running(names, order, {"_before": ("sum", F.lit(1).cast("bigint"))})
-    entry = F.struct((F.col("_before") % size).alias("p"), F.col("value").alias("v"), F.col("id").alias("i"))
+    entry = F.named_struct(F.lit("p"), (F.col("_before") % size), F.lit("v"), F.col("value"), F.lit("i"), F.col("id"))
     items = placed.groupBy(F.floor(F.col("_before") / size).alias("item")).agg(
         F.array_sort(F.collect_list(entry)).alias("e")  # at most `size` entries
     )

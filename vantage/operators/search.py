@@ -421,7 +421,7 @@ def namespace_order(namespace: Column) -> Column:
     """Preferred namespaces first, then alphabetical."""
     position = F.array_position(F.array(*[F.lit(n) for n in PREFERRED_NAMESPACES]), namespace)
     rank = F.when(position == 0, len(PREFERRED_NAMESPACES) + 1).otherwise(position)
-    return F.struct(rank.cast("int").alias("rank"), namespace.alias("name"))
+    return F.named_struct(F.lit("rank"), rank.cast("int"), F.lit("name"), namespace)
 
 
 def _tag_order(needle: str, namespace: str = "") -> list[Column]:

@@ -38,10 +38,10 @@ def doc_id(ip: Column | str, port: Column | str, content: Column | str) -> Colum
 
 def script(raw: Column) -> Column:
     """VARIANT script to ``struct(id, output, payload)``."""
-    return F.struct(
-        F.try_variant_get(raw, "$.id", "string").alias("id"),
-        F.try_variant_get(raw, "$.output", "string").alias("output"),
-        raw.alias("payload"),
+    return F.named_struct(
+        F.lit("id"), F.try_variant_get(raw, "$.id", "string"),
+        F.lit("output"), F.try_variant_get(raw, "$.output", "string"),
+        F.lit("payload"), raw,
     )
 
 
@@ -58,11 +58,11 @@ def clean_banner(scripts: Column) -> Column:
     """Remove line feeds inside banner outputs."""
     return F.transform(
         scripts,
-        lambda s: F.struct(
-            s["id"].alias("id"),
-            F.when(s["id"] == BANNER_SCRIPT, F.replace(s["output"], F.lit("\n"), F.lit("")))
-            .otherwise(s["output"]).alias("output"),
-            s["payload"].alias("payload"),
+        lambda s: F.named_struct(
+            F.lit("id"), s["id"],
+            F.lit("output"), F.when(s["id"] == BANNER_SCRIPT, F.replace(s["output"], F.lit("\n"), F.lit("")))
+            .otherwise(s["output"]),
+            F.lit("payload"), s["payload"],
         ),
     )
 
@@ -73,10 +73,10 @@ def normalize_favicon(scripts: Column) -> Column:
     def rewrite(s: Column) -> Column:
         md5 = F.lower(F.regexp_extract(F.coalesce(s["output"], F.lit("")), UNKNOWN_ICON_RE, 1))
         legacy = md5 != ""
-        return F.struct(
-            F.when(legacy, F.lit(ICON_SCRIPT)).otherwise(s["id"]).alias("id"),
-            F.when(legacy, F.concat(F.lit("\n favicon_md5: "), md5)).otherwise(s["output"]).alias("output"),
-            s["payload"].alias("payload"),
+        return F.named_struct(
+            F.lit("id"), F.when(legacy, F.lit(ICON_SCRIPT)).otherwise(s["id"]),
+            F.lit("output"), F.when(legacy, F.concat(F.lit("\n favicon_md5: "), md5)).otherwise(s["output"]),
+            F.lit("payload"), s["payload"],
         )
 
     return F.transform(scripts, rewrite)
@@ -93,21 +93,21 @@ def content_hash(port: Column) -> Column:
     def plain(s: Column) -> Column:
         keys = F.try_variant_get(s["payload"], "$", "map<string,variant>")
         rest = F.map_filter(keys, lambda k, _: ~k.isin("id", "output"))
-        return F.struct(s["id"].alias("id"), s["output"].alias("output"), F.to_json(rest).alias("payload"))
+        return F.named_struct(F.lit("id"), s["id"], F.lit("output"), s["output"], F.lit("payload"), F.to_json(rest))
 
     scripts = F.transform(port["scripts"], plain)
-    canonical = F.struct(
-        port["portid"].alias("portid"), port["protocol"].alias("protocol"),
-        port["service"].alias("service"), F.array_sort(scripts).alias("scripts"),
+    canonical = F.named_struct(
+        F.lit("portid"), port["portid"], F.lit("protocol"), port["protocol"],
+        F.lit("service"), port["service"], F.lit("scripts"), F.array_sort(scripts),
     )
     return F.sha2(F.to_json(canonical), 256)
 
 
 def shape_port(port: Column) -> Column:
     """Cleaned port without the helper hash."""
-    return F.struct(
-        port["portid"].alias("portid"), port["protocol"].alias("protocol"), port["service"].alias("service"),
-        normalize_favicon(clean_banner(shape_scripts(port["scripts"]))).alias("scripts"),
+    return F.named_struct(
+        F.lit("portid"), port["portid"], F.lit("protocol"), port["protocol"], F.lit("service"), port["service"],
+        F.lit("scripts"), normalize_favicon(clean_banner(shape_scripts(port["scripts"]))),
     )
 
 

@@ -31,7 +31,7 @@ def build_postings(docs: DataFrame, fields: tuple[str, ...] = FIELDS, unique_uid
 
 
 def _entries(name: str) -> Column:
-    return F.transform(clean_list(name), lambda v: F.struct(F.lit(name).alias("field"), v.alias("value")))
+    return F.transform(clean_list(name), lambda v: F.named_struct(F.lit("field"), F.lit(name), F.lit("value"), v))
 
 
 def write_postings(postings: DataFrame, path: str) -> None:

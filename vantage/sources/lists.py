@@ -56,7 +56,7 @@ def read_delegated(spark: SparkSession, path: str) -> DataFrame:
     return (
         spark.read.option("recursiveFileLookup", True).text(path).filter(~F.col("value").startswith("#"))
         .select(parts.alias("p")).filter(F.size("p") >= 7)
-        .select(*[F.col("p")[i].alias(n) for i, n in enumerate(names)])
+        .select(*[F.get("p", i).alias(n) for i, n in enumerate(names)])
     )
 
 

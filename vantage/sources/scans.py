@@ -42,21 +42,21 @@ def _text(v: Column, path: str) -> Column:
 
 def _hostname(h: Column) -> Column:
     plain = F.when(F.try_variant_get(h, "$", "map<string,variant>").isNull(), F.try_variant_get(h, "$", "string"))
-    return F.struct(
-        F.coalesce(_text(h, "$.name"), plain).alias("name"),
-        _text(h, "$.hostname").alias("hostname"),
-        _text(h, "$.type").alias("type"),
+    return F.named_struct(
+        F.lit("name"), F.coalesce(_text(h, "$.name"), plain),
+        F.lit("hostname"), _text(h, "$.hostname"),
+        F.lit("type"), _text(h, "$.type"),
     )
 
 
 def _port(p: Column) -> Column:
-    return F.struct(
-        _text(p, "$.portid").alias("portid"), _text(p, "$.protocol").alias("protocol"), _text(p, "$.hsh256").alias("hsh256"),
-        F.struct(
-            _text(p, "$.service.name").alias("name"), _text(p, "$.service.product").alias("product"),
-            _text(p, "$.service.version").alias("version"),
-        ).alias("service"),
-        F.try_variant_get(p, "$.scripts", "array<variant>").alias("scripts"),
+    return F.named_struct(
+        F.lit("portid"), _text(p, "$.portid"), F.lit("protocol"), _text(p, "$.protocol"), F.lit("hsh256"), _text(p, "$.hsh256"),
+        F.lit("service"), F.named_struct(
+            F.lit("name"), _text(p, "$.service.name"), F.lit("product"), _text(p, "$.service.product"),
+            F.lit("version"), _text(p, "$.service.version"),
+        ),
+        F.lit("scripts"), F.try_variant_get(p, "$.scripts", "array<variant>"),
     )
 
 
