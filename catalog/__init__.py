@@ -10,8 +10,7 @@ import importlib
 
 from catalog.base import ORACLES, QUERIES
 
-MODULES = ("search_queries", "store_queries", "range_queries", "expression_queries", "rule_queries", "coverage_queries", "shape_queries", "source_queries", "report_queries")
-_LATER = (
+MODULES = (
     "search_queries", "store_queries", "expression_queries", "range_queries",
     "rule_queries", "coverage_queries", "shape_queries", "source_queries",
     "report_queries", "stream_queries",

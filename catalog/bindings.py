@@ -60,9 +60,10 @@ DOC_FIELDS = {
 }
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events -> one observation per row."""
-    return table(spark, sf_dir, "events").selectExpr(
+def observations(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """events -> one observation per row (`events` may be a stream)."""
+    events = table(spark, sf_dir, "events") if events is None else events
+    return events.selectExpr(
         "event_id", "user_id", "event_type", "value",
         "get_json_object(props, '$.k') AS k",
         "CAST(get_json_object(props, '$.k') AS INT) AS kn",
@@ -72,11 +73,11 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def documents(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """events -> parsed documents with every searchable field."""
     from vantage.functions.netaddr import ipv4_text, v4_key
 
-    obs = observations(spark, sf_dir)
+    obs = observations(spark, sf_dir, events)
     fields = []
     for name in FIELDS:
         values = DOC_FIELDS.get(name)

@@ -10,6 +10,7 @@ from catalog.scan_binding import CONFIG, port_documents, typed_scans, with_scans
 from vantage.operators import extract as E
 from vantage.operators import shape as H
 from vantage.operators.store import build_postings
+from vantage.session import local_table
 from vantage.operators.search import ip_ports, ip_timeline, ptr_names, resolved_names
 
 _PORT0 = "body.ports"
@@ -213,8 +214,8 @@ def p15(spark, sf_dir):
     """Whole extraction with rules; values of three fields are counted."""
     from vantage.operators.rules import rule_tables
 
-    suffixes = spark.createDataFrame([(s,) for s in CONFIG.suffixes], "suffix string")
-    headers = spark.createDataFrame(list(CONFIG.headers.items()), "header_name string, collect_value boolean")
+    suffixes = local_table(spark, [(s,) for s in CONFIG.suffixes], "suffix string")
+    headers = local_table(spark, list(CONFIG.headers.items()), "header_name string, collect_value boolean")
     kinds = [r[0] for r in table(spark, sf_dir, "events").select("event_type").distinct().limit(100).collect() if r[0] != "view"]
     rules = rule_tables(spark, [{"name": k, "description": k, "query": f"http_server.bg:{k}/", "tags": [f"tag:soft:{k}"]} for k in sorted(kinds)])
     # observations of one document are kept apart: ids are made unique per scan end

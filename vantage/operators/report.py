@@ -18,6 +18,7 @@ from vantage.functions.text import port_order, report_hostname, sort_ports
 from vantage.functions.times import add_months, ts
 from vantage.operators.search import hits, search_terms
 from vantage.schema import REPORT_NAME_LIMIT, REPORT_PTR_MONTHS
+from vantage.session import local_table
 
 # Report texts.
 DISCLAIMER = (
@@ -173,7 +174,7 @@ def _port_text(count: Column, port: Column) -> Column:
 
 def _fixed(spark, section: int, lines: list[str]) -> DataFrame:
     rows = [(section, "", i, line) for i, line in enumerate(lines)]
-    return spark.createDataFrame(rows, "section int, key string, sub int, line string")
+    return local_table(spark, rows, "section int, key string, sub int, line string")
 
 
 def report_lines(

@@ -29,6 +29,7 @@ from vantage.schema import (
     SEARCH_PAGE_LIMIT,
     SUGGESTION_LIMIT,
 )
+from vantage.session import local_table
 
 Term = tuple[str, str, str]
 
@@ -336,7 +337,7 @@ def search_pages(
     spark = docs.sparkSession
     cursor, days, shown = bounds[1], 1, []
     while cursor is not None and cursor >= bounds[0]:
-        seen = spark.createDataFrame([(ip,) for ip in shown], "ip string") if shown else None
+        seen = local_table(spark, [(ip,) for ip in shown], "ip string") if shown else None
         page = search_page(docs, groups, bounds, cursor, seen, limit, days)
         info = page.info.first()
         if info["returned"]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantage.functions.text import clean, is_header_name, report_hostname
+from vantage.session import local_table
 
 # Response headers collected by default ...
 COLLECTED_HEADERS = (
@@ -125,7 +126,7 @@ def read_suffixes(spark: SparkSession, path: str, extra: list[str] | None = None
     )
     if extra:
         more = [(s.strip().lower(),) for s in extra if s.strip()]
-        listed = listed.unionByName(spark.createDataFrame(more, "suffix string"))
+        listed = listed.unionByName(local_table(spark, more, "suffix string"))
     return listed.distinct()
 
 
@@ -135,7 +136,7 @@ def header_collection(spark: SparkSession, overrides: DataFrame | None = None) -
     Stored rows (`overrides`) join the defaults; a default value flag is never
     turned off.  Invalid names are dropped.
     """
-    default = spark.createDataFrame(
+    default = local_table(spark, 
         [(h, h in VALUE_HEADERS) for h in COLLECTED_HEADERS], "header_name string, collect_value boolean"
     )
     if overrides is None:
