@@ -30,3 +30,15 @@ def query(name: str, oracle: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give expensive row-wise work at least one partition per core.
+
+    Only a tiny input with fewer splits than cores (such as one small file) is
+    redistributed; a large table keeps its scan partitions and is not shuffled.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -10,7 +10,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.base import table
+from catalog.base import spread, table
 from vantage.schema import FIELDS
 
 NOW = dt.datetime(2024, 1, 31)
@@ -63,7 +63,7 @@ DOC_FIELDS = {
 def observations(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """events -> one observation per row (`events` may be a stream)."""
     events = table(spark, sf_dir, "events") if events is None else events
-    return events.selectExpr(
+    return spread(events).selectExpr(
         "event_id", "user_id", "event_type", "value",
         "get_json_object(props, '$.k') AS k",
         "CAST(get_json_object(props, '$.k') AS INT) AS kn",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import query, table
+from catalog.base import query, spread, table
 from catalog.bindings import NOW, NOW_S, documents, observations, with_docs
 from vantage.operators import search as S
 
@@ -252,7 +252,7 @@ def q23(spark, sf_dir):
        SELECT uid, CAST(len(t) AS BIGINT) AS hits FROM d WHERE list_contains(t, 'the') AND list_contains(t, 'of')""",
 )
 def q24(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("uid"), F.col("text").alias("body"))
+    docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("uid"), F.col("text").alias("body"))
     return S.token_search(docs, ["The", "of"])
 
 

@@ -379,21 +379,21 @@ def get_docs(wanted: DataFrame, docs: DataFrame) -> DataFrame:
 def token_search(docs: DataFrame, words: list[str], text: str = "body") -> DataFrame:
     """Documents containing every word, ordered by number of word hits.
 
-    Counting stays inside the row (no explode, no shuffle before the sort).
+    A word is a run of letters and digits.  Counting stays inside the row (no
+    explode, no shuffle before the sort), and a plain substring test keeps the
+    counting away from documents that cannot match.
     """
-    wanted = sorted({w.lower() for w in words if w.strip()})
-    tokens = F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+")
-
-    def occurrences(word: str) -> Column:
-        return F.size(F.filter(F.col("_tokens"), lambda t: t == word))
-
-    counts = [occurrences(w) for w in wanted]
+    wanted = sorted({p for w in words for p in re.findall(r"[^\W_]+", w.lower())})
+    if not wanted:
+        raise ValueError("no words to search")
+    body = F.lower(F.col(text))
+    possible = reduce(lambda a, b: a & b, [body.contains(w) for w in wanted])
+    edge = r"[\p{L}\p{N}]"
+    counts = [F.regexp_count(F.col("_b"), F.lit(rf"(?<!{edge}){w}(?!{edge})")) for w in wanted]
+    counted = docs.filter(possible).select("uid", body.alias("_b")).select("uid", F.array(*counts).alias("_n"))
+    total = F.aggregate("_n", F.lit(0).cast("bigint"), lambda acc, n: acc + n)
     return (
-        docs.select("uid", tokens.alias("_tokens"))
-        .select("uid", *[c.alias(f"_n{i}") for i, c in enumerate(counts)])
-        .filter(reduce(lambda a, b: a & b, [F.col(f"_n{i}") > 0 for i in range(len(wanted))]))
-        .select("uid", reduce(lambda a, b: a + b, [F.col(f"_n{i}") for i in range(len(wanted))]).cast("bigint").alias("hits"))
-        .orderBy(F.desc("hits"), "uid")
+        counted.filter(F.array_min("_n") > 0).select("uid", total.alias("hits")).orderBy(F.desc("hits"), "uid")
     )
 
 
