@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -53,10 +55,16 @@ def order_bucket(df: DataFrame, order: list[Column], buckets: int | None = None)
     ]
     if not literals:
         return df.withColumn("_bucket", F.lit(0))
-    bucket = F.aggregate(
-        F.array(*literals), F.lit(0), lambda acc, s: acc + F.when(s <= key, 1).otherwise(0)
-    )
-    return df.withColumn("_bucket", bucket)
+    # two-step search, so a row costs about twice the root of the bucket count
+    width = math.isqrt(len(literals) - 1) + 1
+
+    def below(splits: Column) -> Column:
+        return F.aggregate(splits, F.lit(0), lambda acc, s: acc + F.when(s <= key, 1).otherwise(0))
+
+    coarse = below(F.array(*literals[::width]))
+    base = F.greatest(coarse - 1, F.lit(0)) * width
+    fine = below(F.slice(F.array(*literals), base + 1, F.lit(width)))
+    return df.withColumn("_bucket", base + fine)
 
 
 def running(
