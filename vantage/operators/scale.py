@@ -8,17 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-BROADCAST_ROWS = 200_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a configuration table only after checking its row count.
-
-    Beyond the bound the frame is returned without a hint and the join shuffles.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+BROADCAST_ROWS = 200_000  # known row count up to which a configuration table is broadcast
 
 
 def _literal(value, data_type) -> Column:

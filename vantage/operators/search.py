@@ -509,7 +509,7 @@ def ip_timeline(docs: DataFrame, bodies: DataFrame, ip: str) -> DataFrame:
     size works.
     """
     mine = docs.filter(F.col("ip") == ip).select("uid", "first_seen", "last_seen", "tag")
-    # the seen-range filter on ip is repeated on the bodies so both scans prune
+    # the address filter is repeated on the bodies so both scans prune
     body = bodies.filter(F.col("ip") == ip).select(F.col("id").alias("uid"), "body")
     joined = mine.join(body, "uid", "left")
     ports = F.filter(F.coalesce(F.col("body.ports"), F.array()), lambda p: p.isNotNull())
