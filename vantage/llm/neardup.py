@@ -11,9 +11,9 @@ Only about k (ln k + 3) darts a text are thrown, whatever its length; if a coord
 
 Joining.  Texts with equal words are one representative from the start.  Texts share a bucket if they agree on all rows
 of a band.  In each bucket the member that meets most others is compared with the rest, exactly; links are contracted.
-Buckets that still hold several groups go on with 4, 16, 64, ... leaders, members of the leader's group left out, until
-every member has led: in the end no pair of a bucket that matters is left uncompared, but a group of copies costs one
-comparison a copy, not one a pair.
+What is left are strays, members outside their bucket's largest group.  They are compared with all members of other
+groups, exactly: in small buckets pair by pair, each pair once, in large ones block by block with matrix products that
+give back only links which connect something.  No pair of a bucket is left out, and no pairs of a group are emitted.
 """
 
 from __future__ import annotations
@@ -150,7 +150,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, bands: in
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """Rows (id, root) of the nodes of (u, v): the least id each is connected with.  Alternating large and small stars.
+    """Rows (id, root) for the nodes of (u, v) that are connected with a lesser one: the least such.  Alternating large and small stars.
 
     Joins and minima only, so a node with any number of links needs no task of its own; every round is written.
     """
@@ -178,58 +178,110 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("id"), "root")
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Pairs (u, v) with `similarity`, those at `threshold` or more, from whole texts."""
+def unit_sets(texts: DataFrame, size: int) -> DataFrame:
+    """Rows (id, units) of (id, text): hashes of the counted shingles, the second of a kind another one than the first, sorted."""
 
-    @pandas_udf("double")
-    def similarity(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @pandas_udf("array<long>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         shingler = Shingler(size)
-        last, held = None, None
-        for u, left, right in batches:
-            out = []
-            for i, a, b in zip(u, left, right, strict=True):
-                if i != last:
-                    last, held = i, shingler.shingles(shingler.words(a))
-                out.append(likeness(held, shingler.shingles(shingler.words(b))))
-            yield pd.Series(out, dtype="float64")
-
-    left, right = texts.select(F.col("id").alias("u"), F.col("text").alias("a")), texts.select(F.col("id").alias("v"), F.col("text").alias("b"))
-    found = pairs.join(right, "v").join(left, "u").withColumn("similarity", similarity("u", "a", "b"))
-    return found.where(F.col("similarity") >= threshold).select("u", "v", "similarity")
+        for batch in batches:
+            yield pd.Series([units(*shingler.shingles(shingler.words(t))) for t in batch], dtype=object)
+
+    return texts.select("id", run("text").alias("units"))
 
 
-def _leaders(members: DataFrame, leaders: int) -> DataFrame:
-    """Pairs (u, v) of different groups: members whose share falls to `leaders` in a bucket, with the bucket's others."""
-    share = F.pmod(F.xxhash64("bucket", "id"), F.lit(1 << 30)) / float(1 << 30) * F.col("size")
-    lead = members.where((share < leaders) & ((share >= leaders // 4) | F.lit(leaders == 4))).select("bucket", F.col("id").alias("u"), F.col("root").alias("u_root"), F.col("n").alias("u_n"))
-    return members.join(lead, "bucket").where("root <> u_root").select("u", F.col("id").alias("v"), "u_n", "n")
+def units(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    counts = counts.astype(np.int64)
+    cell = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.sort(mix(np.repeat(elements, counts) + mix(cell.astype(np.uint64) * STEP)).view(np.int64))
 
 
-def links(members: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
+def _compared(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Those of the pairs (u, v) that are links, with `similarity`."""
+
+    @pandas_udf("double")
+    def similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in batches:
+            same = (len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(left, right, strict=True))
+            yield pd.Series([n / (len(a) + len(b) - n) for n, a, b in zip(same, left, right, strict=True)], dtype="float64")
+
+    left, right = sets.select(F.col("id").alias("u"), F.col("units").alias("a")), sets.select(F.col("id").alias("v"), F.col("units").alias("b"))
+    found = pairs.join(right, "v").join(left, "u").withColumn("similarity", similarity("a", "b"))
+    return found.where(F.col("similarity") >= threshold).select("u", "v", "similarity")
+
+
+def block_links(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], stray: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
+    """Links of the stray rows with all rows of other groups: exact, by products of incidence matrices of the shared units.
+
+    Only links that connect something new are returned, so at most one a row.
+    """
+    sizes = np.array([len(x) for x in sets])
+    row, unit = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
+    _, column, held = np.unique(unit, return_inverse=True, return_counts=True)
+    shared = np.cumsum(held > 1) - 1
+    keep = held[column] > 1
+    row, column = row[keep], shared[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    strays = np.flatnonzero(stray)
+    same = np.zeros((len(strays), len(sets)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        part = slice(np.searchsorted(column, start), np.searchsorted(column, start + 2048))
+        matrix = np.zeros((len(sets), 2048), np.float32)
+        matrix[row[part], column[part] - start] = 1
+        same += matrix[strays] @ matrix.T
+    likely = same / (sizes[strays][:, None] + sizes[None, :] - same)
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(likely >= threshold), strict=True):
+        a, b = top(int(roots[strays[i]])), top(int(roots[j]))
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((int(ids[strays[i]]), int(ids[j]), float(likely[i, j])))
+    return out
+
+
+def _blocks(open_rows: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Links in the large open buckets: strays and members dealt into blocks of about `block` units, each pair of blocks one task's group."""
+    parts = open_rows.groupBy("bucket").agg((F.sum("n") / block).cast("int").alias("parts"))
+    rows = open_rows.join(parts, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts") + 1))
+    every = F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long"))
+    strays = rows.where("stray").select("bucket", "id", "root", F.col("own").alias("i"), F.explode(every).alias("j"), F.lit(True).alias("stray"))
+    others = rows.select("bucket", "id", "root", F.explode(every).alias("i"), F.col("own").alias("j"), F.lit(False).alias("stray"))
+
+    def find(frame: pd.DataFrame) -> pd.DataFrame:
+        found = block_links(frame["id"].to_numpy(), frame["root"].to_numpy(), frame["units"].tolist(), frame["stray"].to_numpy(), threshold)
+        return pd.DataFrame(found, columns=["u", "v", "similarity"])
+
+    return strays.unionAll(others).join(sets, "id").groupBy("bucket", "i", "j").applyInPandas(find, "u long, v long, similarity double")
+
+
+def links(members: DataFrame, sets: DataFrame, threshold: float, small: int = 16, block: int = 200_000) -> DataFrame:
     """All links found, rows (u, v, similarity): enough of them to connect every group.
 
-    `members` has (bucket, id, n) for buckets of two texts or more, `texts` (id, text).
+    `members` has (bucket, id, n, size) for buckets of two texts or more, `sets` (id, units).
     """
     fits = f"least(u_n, n) >= {threshold} * greatest(u_n, n)"  # no likeness above the ratio of the sizes
-
-    def check(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.where(fits).select("u", "v").distinct()
-        return materialize(_compared(pairs, texts, size, threshold), "links")
-
     meets = members.groupBy("id").agg(F.sum("size").alias("met"))
-    ranked = members.join(meets, "id")
-    first = ranked.groupBy("bucket").agg(F.max_by(F.struct(F.col("id").alias("u"), F.col("n").alias("u_n")), F.struct("met", -F.col("id"))).alias("lead"))
-    found = check(members.join(first.select("bucket", "lead.*"), "bucket").where("id <> u").select("u", F.col("id").alias("v"), "u_n", "n"))
-    leaders = 4
-    while True:
-        roots = connected(found.select("u", "v"))
-        rooted = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        several = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("size").alias("most")).where("a <> b and most > 2")
-        open_now = materialize(rooted.join(several.where(F.col("most") > leaders // 4 * F.lit(int(leaders > 4))), "bucket", "left_semi"), "open")
-        if open_now.isEmpty():
-            return found
-        found = materialize(found.unionAll(check(_leaders(open_now, leaders))), "links")
-        leaders *= 4
+    first = members.join(meets, "id").groupBy("bucket").agg(F.max_by(F.struct(F.col("id").alias("u"), F.col("n").alias("u_n")), F.struct("met", -F.col("id"))).alias("lead"))
+    pairs = members.join(first.select("bucket", "lead.*"), "bucket").where("id <> u").where(fits).select("u", F.col("id").alias("v")).distinct()
+    found = materialize(_compared(pairs, sets, threshold), "links")
+
+    rooted = members.where("size > 2").join(connected(found.select("u", "v")), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    counted = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("here"))
+    main = counted.groupBy("bucket").agg(F.max_by("root", F.struct("here", -F.col("root"))).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    rows = materialize(rooted.join(main, "bucket").withColumn("stray", F.col("root") != F.col("main")), "open")
+    few = rows.where(F.col("size") <= small)
+    strays = few.where("stray").select("bucket", F.col("id").alias("u"), F.col("n").alias("u_n"), F.col("root").alias("u_root"))
+    pairs = few.join(strays, "bucket").where(f"root <> u_root and (not stray or id < u) and {fits}").select("u", F.col("id").alias("v")).distinct()
+    more = _compared(pairs, sets, threshold).unionAll(_blocks(rows.where(F.col("size") > small), sets, threshold, block))
+    return found.unionAll(materialize(more, "links"))
 
 
 def groups(
@@ -252,9 +304,9 @@ def groups(
     members = materialize(all_members.join(full, "bucket"), "members")
     due = members.select("id").distinct().join(firsts.select("id", "text_key"), "id")
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = materialize(
-        text.join(due, "id").where(F.sha2("text", 256) == F.col("text_key")).select("id", "text").dropDuplicates(["id"]), "texts")
-    roots = connected(links(members, texts, size, threshold).select("u", "v"))
+    own = text.join(due, "id").where(F.sha2("text", 256) == F.col("text_key")).select("id", "text")
+    sets = materialize(unit_sets(own, size).dropDuplicates(["id"]), "sets")
+    roots = connected(links(members, sets, threshold).select("u", "v"))
     classes = firsts.select("words_key", "id").join(roots, "id", "left").select("words_key", F.coalesce("root", "id").alias("class_id"))
     return signed.select("doc_id", "text_key", "words_key").join(classes, "words_key", "left").select(
         "doc_id", "text_key", F.coalesce("class_id", "doc_id").alias("class_id"))
