@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantage.llm import bpe, decontaminate, neardup, quality, secret_scan
+from vantage.llm.common import small_batches
 from vantage.session import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _columns(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.select(*COLUMNS)
 
 
@@ -46,9 +48,7 @@ def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = bpe.decode(bpe.encode(_columns(docs), path), path)
-    return rows.select("doc_id", "lang", "source", "n_chars", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == text).alias("round_trip"))
+    return bpe.encode_checked(_columns(docs), path).select("doc_id", "lang", "source", "n_chars", "ids", "n_tokens", "round_trip")
 
 
 STAGES = [

@@ -31,7 +31,7 @@ def byte_letters() -> dict[str, int]:
 class FragmentCodec:
     """Encodes and decodes whole texts, fragment by fragment."""
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 100_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
@@ -116,6 +116,26 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", into: str = "decode
     return docs.withColumn(into, texts(F.coalesce(F.col(ids_col), F.array().cast("array<int>"))))
 
 
+def encode_checked(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """`docs` with `ids`, `n_tokens` and `round_trip` (whether the ids decode to the text), encoded and decoded in one pass.
+
+    Null text counts as empty; columns of these names are replaced.
+    """
+
+    @pandas_udf("ids array<int>, round_trip boolean")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        codec = FragmentCodec(path)
+        for texts in batches:
+            rows = [(codec.round_trip(t), t) for t in texts]
+            yield pd.DataFrame({"ids": [np.frombuffer(ids, "<i4") for (ids, _), _ in rows], "round_trip": [back == t for (_, back), t in rows]})
+
+    held = "coded"
+    while held in docs.columns:
+        held += "_"
+    rows = docs.withColumn(held, both(F.coalesce(F.col(text_col), F.lit(""))))
+    return rows.withColumns({"ids": F.col(f"{held}.ids"), "n_tokens": F.size(f"{held}.ids").cast("long"), "round_trip": F.col(f"{held}.round_trip")}).drop(held)
+
+
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256), one per input row: every text encoded whole and decoded again.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import string
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word after lower-casing A-Z: digits, a-z and everything beyond ASCII (fixed value).
@@ -51,3 +51,9 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
     match = [F.col(k).eqNullSafe(F.col(f"{name}_{i}")) for i, k in enumerate(by)]
     joined = rows.withColumn(f"{name}_row", inside).join(offsets, match)
     return joined.withColumn(name, F.col(f"{name}_offset") + F.col(f"{name}_row")).select(*df.columns, name)
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Arrow batches of a few megabytes, so that a Python worker's memory does not depend on the lengths of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    return spark

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from vantage.llm import bpe, decontaminate, langid, licenses, neardup, quality, secret_scan, shards, token_counts, winnow
+from vantage.llm.common import small_batches
 from vantage.session import configure
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(configure(spark)).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def tokenizer(name: str) -> str:
