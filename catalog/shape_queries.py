@@ -216,7 +216,7 @@ def p15(spark, sf_dir):
 
     suffixes = local_table(spark, [(s,) for s in CONFIG.suffixes], "suffix string")
     headers = local_table(spark, list(CONFIG.headers.items()), "header_name string, collect_value boolean")
-    kinds = [r[0] for r in table(spark, sf_dir, "events").select("event_type").distinct().limit(100).collect() if r[0] != "view"]
+    kinds = [r[0] for r in table(spark, sf_dir, "events").select("event_type").distinct().collect() if r[0] != "view"]
     rules = rule_tables(spark, [{"name": k, "description": k, "query": f"http_server.bg:{k}/", "tags": [f"tag:soft:{k}"]} for k in sorted(kinds)])
     # observations of one document are kept apart: ids are made unique per scan end
     raw = port_documents(spark, sf_dir).withColumn("id", F.concat("id", F.lit("-"), F.monotonically_increasing_id().cast("string")))

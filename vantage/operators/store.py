@@ -141,11 +141,10 @@ def rebuild(docs: DataFrame, snapshot: DataFrame, retag: bool = True) -> DataFra
     The earliest first_seen and latest last_seen of both are kept; with
     ``retag=False`` so are the stored tags.
     """
-    stored = snapshot.select(
-        "uid",
-        F.col("first_seen").alias("_f"), F.col("last_seen").alias("_l"),
-        (F.col("tag") if "tag" in snapshot.columns else _empty()).alias("_t"),
-        F.lit(True).alias("_known"),
+    stored = snapshot.select("uid", "first_seen", "last_seen", (F.col("tag") if "tag" in snapshot.columns else _empty()).alias("_t"))
+    stored = stored.groupBy("uid").agg(
+        F.min("first_seen").alias("_f"), F.max("last_seen").alias("_l"),
+        F.max(F.struct("last_seen", "_t"))["_t"].alias("_t"), F.lit(True).alias("_known"),
     )
     joined = docs.join(stored, "uid", "left")
     return joined.select(
@@ -160,21 +159,32 @@ def rebuild(docs: DataFrame, snapshot: DataFrame, retag: bool = True) -> DataFra
 # field replacement and tags
 
 
-def replace_field(docs: DataFrame, field: str, updates: DataFrame) -> DataFrame:
+def _last_updates(updates: DataFrame, field: str, order_col: str | None) -> DataFrame:
+    """One row (uid, _v) for each uid that is not blank: the update of the highest `order_col`.
+
+    Equal or missing orders are decided by the values, so a repeated uid never doubles a document.
+    """
+    order = F.col(order_col) if order_col else F.lit(0)
+    rows = updates.select(clean("uid").alias("uid"), clean_list(field).alias("_v"), order.alias("_o")).filter("uid <> ''")
+    return rows.groupBy("uid").agg(F.max(F.struct("_o", "_v")).alias("_m")).select("uid", F.col("_m._v").alias("_v"))
+
+
+def replace_field(docs: DataFrame, field: str, updates: DataFrame, order_col: str | None = None) -> DataFrame:
     """Replace the values of one field for the uids in `updates`.
 
     Values are trimmed, lower-cased and made distinct; blank uids are skipped;
+    of several updates of a uid the one of the highest `order_col` counts;
     other fields stay untouched.
     """
-    fresh = updates.select(clean("uid").alias("uid"), clean_list(field).alias("_v")).filter("uid <> ''")
+    fresh = _last_updates(updates, field, order_col)
     return docs.join(fresh, "uid", "left").select(
         *[F.coalesce("_v", field).alias(c) if c == field else F.col(c) for c in docs.columns]
     )
 
 
-def replace_postings(postings: DataFrame, field: str, updates: DataFrame) -> DataFrame:
+def replace_postings(postings: DataFrame, field: str, updates: DataFrame, order_col: str | None = None) -> DataFrame:
     """Postings after `replace_field`: old rows of the field out, new rows in."""
-    fresh = updates.select(clean("uid").alias("uid"), clean_list(field).alias("_v")).filter("uid <> ''")
+    fresh = _last_updates(updates, field, order_col)
     mine = postings.filter(F.col("field") == field).join(fresh.select("uid"), "uid", "left_anti")
     added = fresh.select(F.lit(field).alias("field"), F.explode("_v").alias("value"), "uid")
     return (

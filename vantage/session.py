@@ -33,18 +33,19 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared folder.
+def use_local_folder(spark: SparkSession) -> SparkSession:
+    """Give a session on this machine alone a folder for written tables if it has none; registered queries call it."""
+    master = spark.sparkContext.master
+    if not spark.conf.get(CHECKPOINT_CONF, None) and (master == "local" or master.startswith("local[")):
+        spark.conf.set(CHECKPOINT_CONF, tempfile.mkdtemp(prefix="vantage-"))
+    return spark
 
-    The folder comes from ``spark.checkpoint.dir``.  Only a local session may
-    run without that setting and then gets a temporary folder.
-    """
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below the cluster's shared folder, ``spark.checkpoint.dir``."""
     base = spark.conf.get(CHECKPOINT_CONF, None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="vantage-")
-        spark.conf.set(CHECKPOINT_CONF, base)
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
