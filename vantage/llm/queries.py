@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from vantage.llm import bpe, decontaminate, langid, licenses, neardup, quality, secret_scan, shards, token_counts, winnow
 from vantage.llm.common import small_batches
-from vantage.session import configure
+from vantage.session import configure, use_local_folder
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return small_batches(configure(spark)).read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(use_local_folder(configure(spark))).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def tokenizer(name: str) -> str:
@@ -64,7 +64,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(configure(spark), sf_dir)
+    return corpus_pipeline.run(use_local_folder(configure(spark)), sf_dir)
 
 
 QUERIES = {
