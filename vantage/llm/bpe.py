@@ -11,8 +11,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,7 +34,8 @@ def byte_letters() -> dict[str, int]:
 class FragmentCodec:
     """Encodes and decodes whole texts, fragment by fragment."""
 
-    def __init__(self, path: str, keep: int = 100_000):
+    def __init__(self, path: str, keep: int = 300_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel ones
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
@@ -65,31 +69,37 @@ class FragmentCodec:
         return [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
     def _learn(self, new: list[bytes]) -> None:
-        for start in range(0, len(new), 4096):
-            part = new[start:start + 4096]
-            for raw, e in zip(part, self.tokenizer.encode_batch([x.decode() for x in part], add_special_tokens=False), strict=True):
+        for start in range(0, len(new), 8192):
+            part = new[start:start + 8192]
+            for raw, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
                 ids = e.ids
-                self.known[raw] = (np.array(ids, dtype="<u4").tobytes(), b"".join(map(self.tokens.__getitem__, ids)))
-
-    def _both(self, text: str) -> list[tuple[bytes, bytes]]:
-        parts = self.fragments(text.encode()) if text else []
-        if len(self.known) > self.keep:
-            self.known.clear()
-        if new := list({p for p in parts if p not in self.known}):
-            self._learn(new)
-        return [self.known[p] for p in parts]
+                self.known[raw] = (array("I", ids).tobytes(), b"".join(map(self.tokens.__getitem__, ids)))
+
+    def _all(self, texts: list[str]) -> Iterator[list[tuple[bytes, bytes]]]:
+        """Ids and decoded bytes of the fragments of each text; fragments not seen before are encoded together."""
+        for start in range(0, len(texts), 256):
+            if len(self.known) > self.keep:
+                self.known.clear()
+            parts = [self.fragments(t.encode()) if t else [] for t in texts[start:start + 256]]
+            self._learn(list(set(chain.from_iterable(parts)).difference(self.known)))
+            for own in parts:
+                yield list(map(self.known.__getitem__, own))
+
+    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for both in self._all(texts):
+            yield np.frombuffer(b"".join([i for i, _ in both]), dtype="<u4")
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join([i for i, _ in self._both(text)]), dtype="<u4")
+        return next(self.encode_all([text]))
 
     def decode(self, ids) -> str:
         """The text of ids, as the decoder writes it: bytes that are no UTF-8 become U+FFFD."""
         return b"".join(map(self.tokens.__getitem__, map(int, ids))).decode("utf-8", "replace")
 
-    def round_trip(self, text: str) -> tuple[bytes, str]:
+    def round_trips(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """Ids as little-endian 32-bit integers, and the text decoded from them."""
-        both = self._both(text)
-        return b"".join([i for i, _ in both]), b"".join([d for _, d in both]).decode("utf-8", "replace")
+        for both in self._all(texts):
+            yield b"".join([i for i, _ in both]), b"".join([d for _, d in both]).decode("utf-8", "replace")
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", into: str = "ids") -> DataFrame:
@@ -99,7 +109,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", into: str = "ids"
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = FragmentCodec(path)
         for texts in batches:
-            yield pd.Series([codec.encode(t).astype(np.int32) for t in texts], dtype=object)
+            yield pd.Series([ids.astype(np.int32) for ids in codec.encode_all(texts.tolist())], dtype=object)
 
     return docs.withColumn(into, ids(F.coalesce(F.col(text_col), F.lit(""))))
 
@@ -126,7 +136,7 @@ def encode_checked(docs: DataFrame, path: str, text_col: str = "text") -> DataFr
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = FragmentCodec(path)
         for texts in batches:
-            rows = [(codec.round_trip(t), t) for t in texts]
+            rows = list(zip(codec.round_trips(texts.tolist()), texts, strict=True))
             yield pd.DataFrame({"ids": [np.frombuffer(ids, "<i4") for (ids, _), _ in rows], "round_trip": [back == t for (_, back), t in rows]})
 
     held = "coded"
@@ -147,8 +157,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         codec = FragmentCodec(path)
         for texts in batches:
             rows = []
-            for text in texts:
-                ids, back = codec.round_trip(text)
+            for ids, back in codec.round_trips(texts.tolist()):
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
