@@ -194,6 +194,38 @@ def k6(spark, sf_dir):
     return found.select(N.key_text("lo").alias("first"), N.key_text("hi").alias("last"), "description")
 
 
+def networks_v6(spark, sf_dir):
+    """supplier -> IPv6 networks of every prefix from 32 on."""
+    key = F.concat(F.lit("20010db8"), F.lpad(F.lower(F.hex("s_suppkey")), 8, "0"), F.lit("0" * 16))
+    prefix = (F.lit(32) + F.col("s_suppkey") % 97).cast("int")
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), prefix.alias("prefix"), key.alias("_k"))
+    return rows.select("id", "prefix", N.mask_key("_k", F.col("prefix"), 0).alias("lo"), N.mask_key("_k", F.col("prefix"), 1).alias("hi"))
+
+
+NETS6_SQL = """six0 AS (SELECT s_suppkey AS id, CAST(pow(2, 96 - s_suppkey % 97) AS HUGEINT) AS size,
+           CAST(536939960 AS HUGEINT) * CAST(pow(2, 96) AS HUGEINT) + CAST(s_suppkey AS HUGEINT) * CAST(pow(2, 64) AS HUGEINT) AS x FROM supplier),
+six AS (SELECT id, size, x - x % size AS lo FROM six0)"""
+
+
+@query(
+    "K7_address_total_v6",
+    f"WITH {NETS6_SQL} SELECT CAST(sum(size) AS VARCHAR) AS ips FROM six",
+)
+def k7_v6(spark, sf_dir):
+    return K.count_ips(networks_v6(spark, sf_dir)).select(F.col("ips_text").alias("ips"))
+
+
+@query(
+    "K9_block_slices_v6",
+    f"""WITH {NETS6_SQL} SELECT id, lpad(lower(to_hex(lo + (300 + i) * 256)), 32, '0') AS lo, CAST(size // 256 AS VARCHAR) AS blocks
+        FROM six, range(4) r(i) WHERE (300 + i) < size // 256""",
+)
+def k9_v6(spark, sf_dir):
+    """Blocks 300 to 303 of every network, however wide, and how many blocks it has."""
+    sized = K.network_blocks(networks_v6(spark, sf_dir))
+    return K.split_networks(sized, 300, 4).select("id", "lo", F.col("blocks").cast("string").alias("blocks"))
+
+
 @query(
     "K7_address_total",
     f"WITH {NETS_SQL} SELECT CAST(sum(size) AS BIGINT) AS ips, CAST(sum(size) AS DOUBLE) AS ips_double FROM nets",

@@ -83,6 +83,15 @@ def q13(spark, sf_dir):
     return documents(spark, sf_dir).filter(S.overlaps(*default)).select("uid", S.overlaps(*since).alias("in_since"))
 
 
+@query(
+    "Q13_since_word",
+    with_docs("""SELECT ip, count(*) AS uid_count, min(first_seen) AS min_seen, max(last_seen) AS max_seen FROM docs
+        WHERE last_seen >= 1704931200 AND first_seen <= 1706745599 AND list_contains(tag, 'soft:view') GROUP BY ip"""),
+)
+def q13_since(spark, sf_dir):
+    return S.search_text(documents(spark, sf_dir), "since:20 tag:soft:view", NOW)
+
+
 GROUPS = "http_server.bg:click net:8.8.0.0/20 OR tag:soft:view port:69"
 GROUPS_SQL = (
     "((ip_num BETWEEN 134742016 AND 134742016 + 4095 AND len(list_filter(http_server, lambda x: starts_with(x, 'click'))) > 0) "

@@ -233,3 +233,10 @@ def test_network_texts(spark):
     assert out == {"8.8.8.8": "2, two", "8.1.0.0/16": "1, one", "yper-i.example.org": K.NOT_AN_ADDRESS, "9.9.9.9": K.NO_ANSWER}
     nets = spark.range(1).select(N.enclosing_networks(N.address_key(F.lit("146.0.178.196")))).first()[0]
     assert nets[0] == "146.0.0.0/16" and nets[-1] == "146.0.178.0/24" and len(nets) == 9
+
+
+def test_since_word():
+    assert S.since_days("port:80 since:3") == 3 and S.since_days("port:80") is None
+    for bad in ("since:3 since:4", "since:0", "since:-1", "since:x", "since:"):
+        with pytest.raises(ValueError):
+            S.since_days(bad)

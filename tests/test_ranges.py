@@ -100,14 +100,24 @@ def test_merge_and_reduce_match_collapse(spark):
 
 
 def test_split_and_pack(spark):
-    nets = [ipaddress.ip_network(t) for t in ("8.0.0.0/15", "9.9.9.0/25", "2a00::/115", "2a00:1::/40", "7.7.7.7/32")]
+    nets = [ipaddress.ip_network(t) for t in ("8.0.0.0/15", "9.9.9.0/25", "2a00::/115", "7.7.7.7/32")]
     rows = [(i, key(int(n[0]), n.version), key(int(n[-1]), n.version), n.prefixlen) for i, n in enumerate(nets)]
     out = K.split_networks(local_table(spark, rows, "id int, lo string, hi string, prefix int")).collect()
     counts: dict[int, int] = {}
     for r in out:
         counts[r.id] = counts.get(r.id, 0) + 1
-    assert counts == {0: 512, 1: 1, 2: 32, 3: 1, 4: 1}
-    assert {r.split for r in out if r.id == 3} == {False}
+    assert counts == {0: 512, 1: 1, 2: 32, 3: 1}
+
+    wide = [ipaddress.ip_network(t) for t in ("2a00:1::/40", "2001:db8::/64", "8::/17", "::/0", "0.0.0.0/0", "9.9.9.0/24")]
+    rows = [(i, key(int(n[0]), n.version), key(int(n[-1]), n.version), n.prefixlen) for i, n in enumerate(wide)]
+    frame = local_table(spark, rows, "id int, lo string, hi string, prefix int")
+    assert [int(r.blocks) for r in K.network_blocks(frame).orderBy("id").collect()] == [max(n.num_addresses // 256, 1) for n in wide]
+    for start in (0, 5, 2**56 - 3, 2**60 - 2, 2**79 + 12345, 2**120 - 4):
+        got = {(r.id, r.lo, r.hi) for r in K.split_networks(frame, start, 4).collect()}
+        assert got == {
+            (i, key(int(n[0]) + b * 256, n.version), key(int(n[0]) + b * 256 + 255, n.version))
+            for i, n in enumerate(wide) for b in range(start, min(start + 4, n.num_addresses // 256))
+        }
 
     rng = random.Random(11)
     small = [ipaddress.ip_network((int(ipaddress.ip_address("8.8.0.0")) + rng.getrandbits(13), rng.randint(24, 32)), strict=False) for _ in range(150)]
@@ -148,3 +158,19 @@ def test_hot_address_keeps_every_document(spark):
     lists = S.uid_lists(df, chunk=500)
     assert {(r.ip, r.uid) for r in lists.select("ip", F.explode("uids").alias("uid")).collect()} == {(ip, u) for u, ip in rows}
     assert lists.agg(F.max(F.size("uids"))).first()[0] < 1000
+
+
+def test_totals_of_wide_networks_are_exact(spark):
+    texts = ["2a00::/32", "8000::/1", "::/0", "8.0.0.0/8", "1.2.3.4", "2a00::1", "a.example.com", "not a target"]
+    nets = [ipaddress.ip_network(t) for t in texts[:6]]
+    frame = local_table(spark, [(t,) for t in texts], "value string")
+    stats = K.target_stats(frame).first()
+    total = sum(n.num_addresses for n in nets if n.prefixlen < n.max_prefixlen)
+    assert (stats.cidr_host_count_text, stats.total_hosts_to_scan_text) == (str(total), str(total + 3))
+    assert stats.cidr_host_count is None and (stats.cidr_count, stats.fqdn_count) == (4, 1)
+    counted = K.count_ips(K.with_network(frame).filter("lo is not null")).first()
+    assert counted.ips_text == str(sum(n.num_addresses for n in nets)) and counted.ips is None
+    one = K.count_ips(K.with_network(frame.limit(1))).first()
+    assert int(one.ips) == 2**96 and one.ips_text == str(2**96)
+    none = K.count_ips(K.with_network(frame).filter("false")).first()
+    assert none.ips is None and none.ips_text is None

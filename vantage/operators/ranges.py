@@ -234,14 +234,43 @@ def match_delegated(rows: DataFrame, registry: str, countries: list[str], words:
     )
 
 
+def exact_total(exponent: Column, count: Column) -> Column:
+    """Sum of ``count * 2^exponent`` as decimal text, exact for any prefix of both versions; null without rows.
+
+    Powers are carried in two decimal halves, so that no product or sum leaves 38 digits.
+    """
+    half = 10**19
+    powers = [divmod(2**e, half) for e in range(129)]
+
+    def part(i: int) -> Column:
+        digits = F.array(*[F.lit(str(p[i])).cast("decimal(20,0)") for p in powers])
+        return F.sum((F.get(digits, exponent.cast("int")) * count.cast("decimal(17,0)")).cast("decimal(38,0)"))
+
+    def text(t: Column) -> Column:
+        high, low = t["high"], t["low"]
+        carry = F.floor(low / F.lit(str(half)).cast("decimal(20,0)")).cast("decimal(38,0)")
+        carry = F.when(carry * F.lit(str(half)).cast("decimal(20,0)") > low, carry - 1).otherwise(carry)  # a quotient may be rounded up
+        return N.let(
+            F.named_struct(
+                F.lit("high"), (high + carry).cast("decimal(38,0)"),
+                F.lit("low"), (low - carry * F.lit(str(half)).cast("decimal(20,0)")).cast("decimal(38,0)"),
+            ),
+            lambda n: F.when(n["high"] == 0, n["low"].cast("string")).otherwise(
+                F.concat(n["high"].cast("string"), F.lpad(n["low"].cast("string"), 19, "0"))
+            ),
+        )
+
+    return N.let(F.named_struct(F.lit("high"), part(0), F.lit("low"), part(1)), text)
+
+
 def count_ips(networks: DataFrame) -> DataFrame:
-    """Number of addresses: exact while it fits 38 digits, and as a double."""
-    exponent = F.length("lo") * 4 - F.col("prefix")
-    size = F.pow(F.lit(2.0), exponent)
-    exact = F.when(exponent < 63, F.call_function("shiftleft", F.lit(1).cast("bigint"), exponent).cast("decimal(38,0)")).otherwise(
-        size.try_cast("decimal(38,0)")
+    """Number of addresses: `ips_text` always exact, `ips` exact or null past 38 digits, `ips_double` rounded."""
+    sizes = networks.groupBy((F.length("lo") * 4 - F.col("prefix")).alias("exponent")).agg(F.count(F.lit(1)).alias("n"))
+    totals = sizes.agg(
+        exact_total(F.col("exponent"), F.col("n")).alias("ips_text"),
+        F.sum(F.pow(F.lit(2.0), F.col("exponent")) * F.col("n")).alias("ips_double"),
     )
-    return networks.agg(F.try_sum(exact).alias("ips"), F.sum(size).alias("ips_double"))
+    return totals.select(F.col("ips_text").try_cast("decimal(38,0)").alias("ips"), "ips_double", "ips_text")
 
 
 def merge_ranges(ranges: DataFrame) -> DataFrame:
@@ -267,41 +296,52 @@ def merge_cidrs(ranges: DataFrame) -> DataFrame:
     return range_to_cidrs(merge_ranges(ranges))
 
 
-def split_networks(networks: DataFrame, size: int = CHUNK_ADDRESSES) -> DataFrame:
-    """Networks above 256 addresses as blocks of 256.
+def network_blocks(networks: DataFrame, size: int = CHUNK_ADDRESSES) -> DataFrame:
+    """Networks with `blocks`, the number of blocks of `size` addresses in each; exact for every prefix of both versions."""
+    width = F.length("lo") * 4 - F.col("prefix") - (size.bit_length() - 1)
+    powers = F.array(*[F.lit(str(2**e)).cast("decimal(38,0)") for e in range(128 - size.bit_length() + 2)])
+    return networks.withColumn("blocks", F.get(powers, F.greatest(width, F.lit(0)).cast("int")))
 
-    Two explode steps keep every intermediate array at 65,536 entries.  An IPv6
-    network wider than /64 is far beyond any work list and stays whole, flagged
-    `split = false`.
+
+def split_networks(networks: DataFrame, start: int = 0, count: int | None = None) -> DataFrame:
+    """Networks above 256 addresses as blocks of 256, smaller ones as they are.
+
+    `start` and `count` choose a slice of each network's blocks (see :func:`network_blocks`), the way to walk through
+    a network with more blocks than one job should list; without `count` all blocks from `start` on are listed, and a
+    list of more than 2^63-1 of them is an error.  Block numbers are spread digit by digit, so no array is longer than
+    65,536 entries whatever the width.
     """
-    if size != 256:
-        raise ValueError("blocks hold 256 addresses")  # two hexadecimal digits
-    bits = 8
-    width = F.length("lo") * 4 - F.col("prefix")  # address bits of the network
-    small = networks.filter(width <= bits).withColumn("split", F.lit(True))
-    huge = networks.filter((F.length("lo") == 32) & (width > 64)).withColumn("split", F.lit(False))
-    large = networks.filter((width > bits) & ((F.length("lo") == 8) | (width <= 64)))
-    # the low half of a key holds all bits that vary; blocks are numbered in it
-    head = F.when(F.length("lo") == 8, F.lit("")).otherwise(F.substring("lo", 1, 16))
-    low = F.when(F.length("lo") == 8, F.col("lo")).otherwise(F.substring("lo", 17, 16))
-    number = F.conv(F.substr(low, F.lit(1), F.length(low) - 2), 16, 10).cast("bigint")
-    blocks = F.call_function("shiftleft", F.lit(1).cast("bigint"), width - bits)
+    bits, digits = 8, 15  # two hexadecimal digits inside a block; 15 digits are 60 bits of a block number
     rest = [c for c in networks.columns if c not in ("lo", "hi", "prefix")]
-    step = 65_536
-    coarse = large.select(
-        *rest, head.alias("_head"), F.length(low).alias("_len"), number.alias("_n"), blocks.alias("_b")
-    ).withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_b") - 1) / step))))
-    last = F.least(F.col("_c") * step + step, F.col("_b")) - 1
-    fine = coarse.withColumn("_i", F.explode(F.sequence(F.col("_c") * step, last)))
-    digits = F.lpad(F.lower(F.hex(F.col("_n") + F.col("_i"))), F.col("_len") - 2, "0")
-    out = fine.select(
-        *rest,
-        F.concat("_head", digits, F.lit("00")).alias("lo"),
-        F.concat("_head", digits, F.lit("ff")).alias("hi"),
+    sized = network_blocks(networks)
+    small = sized.filter(F.length("lo") * 4 - F.col("prefix") <= bits)
+    listed = sized.filter(F.length("lo") * 4 - F.col("prefix") > bits)
+    zero = F.lit("0").cast("decimal(38,0)")
+    left = F.greatest(F.col("blocks") - F.lit(str(start)).cast("decimal(38,0)"), zero)
+    if count is not None:
+        left = F.least(left, F.lit(str(count)).cast("decimal(38,0)"))
+    rows = listed.withColumn("_n", left.cast("bigint")).filter("_n > 0").withColumn("_i", F.lit(0).cast("bigint"))
+    for shift in (48, 32, 16, 0):
+        steps = F.shiftright(F.col("_n") - 1 - F.col("_i"), shift)
+        step = F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(steps, F.lit(65_535).cast("bigint"))))
+        rows = rows.withColumn("_d", step).withColumn("_i", F.col("_i") + F.shiftleft("_d", shift))
+    number = F.lpad(F.substr(F.col("lo"), F.lit(1), F.length("lo") - 2), 2 * digits, "0")
+    start_high, start_low = divmod(start, 1 << 4 * digits)
+    low = F.conv(F.substring(number, digits + 1, digits), 16, 10).cast("bigint") + F.lit(start_low).cast("bigint")
+    # a block number and a step both stay below 2^60 and 2^63; the carry is taken from each before they meet
+    mask = F.lit((1 << 4 * digits) - 1).cast("bigint")
+    both = low.bitwiseAND(mask) + F.col("_i").bitwiseAND(mask)
+    carry = F.shiftright(low, 4 * digits) + F.shiftright("_i", 4 * digits) + F.shiftright(both, 4 * digits)
+    high = F.conv(F.substring(number, 1, digits), 16, 10).cast("bigint") + F.lit(start_high).cast("bigint") + carry
+    text = F.concat(*[F.lpad(F.lower(F.hex(v)), digits, "0") for v in (high, both.bitwiseAND(mask))])
+    block = F.substring(text, 1, 2 * digits)
+    block = F.substr(block, F.lit(2 * digits + 1) - (F.length("lo") - 2), F.length("lo") - 2)
+    blocks = rows.select(
+        *rest, F.concat(block, F.lit("00")).alias("lo"), F.concat(block, F.lit("ff")).alias("hi"),
+        (F.length("lo") * 4 - bits).cast("int").alias("prefix"),
     )
-    out = out.select("*", (F.length("lo") * 4 - bits).cast("int").alias("prefix"), F.lit(True).alias("split"))
-    columns = [*rest, "lo", "hi", "prefix", "split"]
-    return out.select(*columns).unionByName(small.select(*columns)).unionByName(huge.select(*columns))
+    columns = [*rest, "lo", "hi", "prefix"]
+    return blocks.select(*columns).unionByName(small.filter(F.lit(start == 0 and count != 0)).select(*columns))
 
 
 def pack_ranges(ranges: DataFrame, size: int = CHUNK_ADDRESSES) -> DataFrame:
@@ -375,19 +415,26 @@ def classify_due(targets: DataFrame, size: int = CHUNK_ADDRESSES) -> DataFrame:
 
 
 def target_stats(targets: DataFrame) -> DataFrame:
-    """One row: networks, names, addresses in networks and total hosts."""
-    typed = targets.select(N.target(F.trim("value")).alias("t")).select(
-        "t.kind", N.network_size(F.col("t.prefix"), N.key_bits("t.lo")).cast("decimal(38,0)").alias("n")
-    )
-    network = F.col("kind") == "network"
-    hosts = F.when(network, F.col("n")).when(F.col("kind") != "invalid", F.lit(1))
-    zero = F.lit(0).cast("decimal(38,0)")
-    return typed.agg(
-        F.count_if(network).alias("cidr_count"),
-        F.count_if(F.col("kind") == "fqdn").alias("fqdn_count"),
-        F.coalesce(F.sum(F.when(network, F.col("n"))), zero).alias("cidr_host_count"),
-        F.coalesce(F.sum(hosts), zero).alias("total_hosts_to_scan"),
+    """One row: networks, names, addresses in networks and total hosts.
+
+    The `..._text` columns are exact always, the decimals exact or null past 38 digits.
+    """
+    typed = targets.select(N.target(F.trim("value")).alias("t")).groupBy(
+        F.col("t.kind").alias("kind"), F.when(F.col("t.kind") == "network", N.key_bits("t.lo") - F.col("t.prefix")).otherwise(0).alias("exponent")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    network, valid = F.col("kind") == "network", F.col("kind") != "invalid"
+
+    def total(which: Column) -> Column:
+        return F.coalesce(exact_total(F.col("exponent"), F.when(which, F.col("n"))), F.lit("0"))
+
+    counted = typed.agg(
+        F.coalesce(F.sum(F.when(network, F.col("n"))), F.lit(0)).alias("cidr_count"),
+        F.coalesce(F.sum(F.when(F.col("kind") == "fqdn", F.col("n"))), F.lit(0)).alias("fqdn_count"),
+        total(network).alias("cidr_host_count_text"),
+        total(valid).alias("total_hosts_to_scan_text"),
     )
+    exact = [F.col(f"{c}_text").try_cast("decimal(38,0)").alias(c) for c in ("cidr_host_count", "total_hosts_to_scan")]
+    return counted.select("cidr_count", "fqdn_count", *exact, "cidr_host_count_text", "total_hosts_to_scan_text")
 
 
 def asn_lookup(targets: DataFrame, prefixes: DataFrame, as_names: DataFrame) -> DataFrame:

@@ -53,7 +53,8 @@ DAY = 86_400
 def search_terms(text: str) -> list[list[Term]]:
     """Short-hand for term lists: ``field[.modifier]:value`` words, ``OR`` between groups.
 
-    Raises ValueError on an unknown field, a bad modifier or an empty group.
+    Raises ValueError on an unknown field, a bad modifier or an empty group.  A ``since:N`` word is no term; see
+    :func:`since_days`.
     """
     groups: list[list[Term]] = [[]]
     for word in shlex.split(text):
@@ -66,6 +67,16 @@ def search_terms(text: str) -> list[list[Term]]:
     return groups
 
 
+def since_days(text: str) -> int | None:
+    """N of the ``since:N`` word of a search text, None without one; ValueError on two of them or on a bad N."""
+    given = [w.partition(":")[2].strip() for w in shlex.split(text) if w.lower().startswith("since:")]
+    if len(given) > 1:
+        raise ValueError("only one since: word is allowed")
+    if given and not (given[0].isdecimal() and int(given[0]) > 0):
+        raise ValueError("since: takes a positive number of days")
+    return int(given[0]) if given else None
+
+
 def _term_of(word: str) -> Term:
     name, colon, value = word.partition(":")
     name = name.lower()
@@ -255,6 +266,11 @@ def search(docs: DataFrame, groups: Iterable[Iterable[Term]], start: int, end: i
     return ordered(by_ip(hits(docs, groups, start, end)))
 
 
+def search_text(docs: DataFrame, text: str, now: dt.datetime, start: int | None = None, end: int | None = None) -> DataFrame:
+    """Full search of a search text, its ``since:N`` word included."""
+    return search(docs, search_terms(text), *resolve_range(start, end, now, since_days(text)))
+
+
 def search_totals(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     """One row: store totals and number of returned addresses."""
     return object_counts(docs).select("*", grouped.agg(F.count("ip")).scalar().alias("returned"))
