@@ -1,73 +1,98 @@
 """Sharding by balanced label propagation.
 
-Documents with equal texts are linked (a star through the text's key, never pairs).  Every linked document starts in a
-shard by the hash of its id.  Documents of one text in one shard are interchangeable, so the propagation runs on counts:
-rows (group, shard, n), at most `shards` a group however large it is.  In each round a group's members wish to join the
-shard where most of the group already is and room is left; wishes are granted up to the shard's quota, in exact running
-order.  Unlinked documents have no edges: at the end they fill what is left, so that the law `rows` holds exactly:
-shard s gets floor(N / shards) documents, one more if s < N mod shards.
+Documents with equal texts are linked (a star through the text's key, never pairs).  Documents of one text in one shard
+are interchangeable, so a group is one row: its key and how many of its members are in each shard, however large it is.
+The start deals all linked documents round the shards, which keeps every quota.  In each round a group's members wish to
+join the shard with room where most of the group already is; the wishes are joined with the room that is left and
+granted up to it, in exact running order, the largest first.  Rounds go on while they keep more links whole.  Unlinked
+documents have no edges: they fill what is left, so that the law `rows` holds exactly: shard s gets floor(N / shards)
+documents, one more if s < N mod shards.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vantage.llm.common import numbered
-from vantage.session import local_table, materialize
+from vantage.session import materialize
 
-PARTS = 256
+LANES = 64
+SALTS = 1024
 
 
-def _granted(moves: DataFrame, room: DataFrame) -> DataFrame:
-    """How many of each move's `n` rows fit into the room of shard `to`, the largest gain first within a part.
+def _ahead(df: DataFrame, keys: Sequence[str], value: str, name: str, rank: Column | None = None) -> DataFrame:
+    """The sum of `value` over the rows before each one within `keys`, without a task per key.
 
-    Running sums in two steps (totals of hash parts, then inside a part), so no task holds all moves to a shard.
+    Rows are dealt to lanes by `rank` (0 to 63, first if lower) and the hash of the group; the totals of the lanes, at
+    most 4096 a key, are summed and joined to running sums inside a lane.
     """
-    moves = moves.withColumn("part", F.pmod(F.hash("grp"), F.lit(PARTS)))
-    totals = moves.groupBy("to", "part").agg(F.sum("n").alias("sum")).select(
-        "to", "part", (F.sum("sum").over(Window.partitionBy("to").orderBy("part")) - F.col("sum")).alias("before"))
-    inside = F.sum("n").over(Window.partitionBy("to", "part").orderBy(F.desc("gain"), "grp", "shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    ahead = F.col("before") + F.col("inside")
-    return (
-        moves.withColumn("inside", inside).join(F.broadcast(totals), ["to", "part"]).join(F.broadcast(room), "to")
-        .withColumn("n", F.greatest(F.least(F.col("n"), F.col("free") - ahead), F.lit(0))).where("n > 0").select("grp", "shard", "to", "n")
+    lane = F.pmod(F.xxhash64("grp"), F.lit(LANES)).cast("int")
+    rows = df.withColumn("lane", lane if rank is None else rank * LANES + lane)
+    by = [*keys, "lane"]
+    totals = rows.groupBy(*by).agg(F.sum(value).alias("sum")).select(
+        *by, (F.sum("sum").over(Window.partitionBy(*keys).orderBy("lane")) - F.col("sum")).alias("before")
     )
+    inside = F.sum(value).over(Window.partitionBy(*by).orderBy(F.desc(value), "grp").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("inside", inside - F.col(value)).join(F.broadcast(totals), by).withColumn(name, F.col("before") + F.col("inside")).drop("lane", "inside", "before")
+
+
+def _sum(array: Column) -> Column:
+    return F.aggregate(array, F.lit(0).cast("long"), lambda total, n: total + n)
+
+
+def _dealt(groups: DataFrame, shards: int) -> DataFrame:
+    """The start: (grp, counts) with the members of all groups, one group after the other, dealt round the shards."""
+    upto = [f"(ahead + members + {shards - 1 - s}) div {shards} - (ahead + {shards - 1 - s}) div {shards}" for s in range(shards)]
+    return _ahead(groups, [], "members", "ahead").select("grp", F.array(*[F.expr(e) for e in upto]).alias("counts"))
 
 
-def _room(atoms: DataFrame, quotas: DataFrame) -> DataFrame:
-    held = atoms.groupBy("shard").agg(F.sum("n").alias("held"))
-    return quotas.join(held, "shard", "left").select(F.col("shard").alias("to"), (F.col("quota") - F.coalesce("held", F.lit(0))).alias("free"))
+def _wishes(state: DataFrame, free: list[int]) -> DataFrame:
+    """With `to` (the best shard that has room), `moves` (members that would leave each shard for it) and their sum `wish`."""
+    room = F.array(*[F.lit(max(n, 0)).cast("long") for n in free])
 
+    def pull(n: Column, s: Column) -> Column:
+        return F.struct(n.alias("n"), F.xxhash64("grp", s).alias("tie"), s.alias("s"))
 
-def _round(atoms: DataFrame, room: DataFrame) -> DataFrame:
-    """One round of propagation over (grp, shard, n)."""
-    open_to = atoms.join(F.broadcast(room.where("free > 0")), atoms["shard"] == F.col("to"))
-    best = open_to.groupBy("grp").agg(F.max_by(F.struct("to", F.col("n").alias("there")), F.struct("n", -F.col("to"))).alias("best"))
-    moves = atoms.join(best.select("grp", "best.to", "best.there"), "grp").where(
-        (F.col("shard") != F.col("to")) & ((F.col("there") > F.col("n")) | (F.col("there") == F.col("n")) & (F.col("to") < F.col("shard")))
-    ).withColumn("gain", F.col("there") - F.col("n"))
-    granted = _granted(moves, room)
-    changes = granted.select("grp", "shard", (-F.col("n")).alias("n")).unionAll(granted.select("grp", F.col("to").alias("shard"), "n"))
-    return atoms.unionAll(changes).groupBy("grp", "shard").agg(F.sum("n").alias("n")).where("n > 0")
+    pulls = state.withColumn("room", room).withColumn("pulls", F.transform("counts", pull))
+    best = pulls.withColumn("best", F.array_max(F.filter("pulls", lambda p: F.get("room", p["s"]) > 0)))
+    moves = best.withColumn("moves", F.transform("pulls", lambda p: F.when(p < F.col("best"), p["n"]).otherwise(F.lit(0).cast("long"))))
+    return moves.select("grp", "counts", F.col("best.s").alias("to"), "moves", _sum(F.col("moves")).alias("wish"), F.get("room", F.col("best.s")).alias("free"))
 
 
-def _kept(atoms: DataFrame) -> float:
-    """Links kept whole: ordered pairs of linked documents in one shard."""
-    return atoms.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
+def _round(state: DataFrame, free: list[int]) -> DataFrame:
+    """One round of propagation over (grp, counts)."""
+    wishes = _wishes(state, free)
+    moving = F.coalesce(F.col("wish") > 0, F.lit(False))
+    asked = _ahead(wishes.where(moving), ["to"], "wish", "ahead", rank=63 - F.floor(F.log2("wish")).cast("int"))
+    granted = asked.withColumn("granted", F.greatest(F.least("wish", F.col("free") - F.col("ahead")), F.lit(0).cast("long")))
 
+    def after(n: Column, s: Column) -> Column:
+        left = F.greatest(F.col("granted") - _sum(F.slice("moves", 1, s)), F.lit(0).cast("long"))
+        return n - F.least(F.get("moves", s), left) + F.when(s == F.col("to"), F.col("granted")).otherwise(F.lit(0))
 
-def propagate(atoms: DataFrame, quotas: DataFrame, rounds: int = 12) -> DataFrame:
-    """Rounds while they keep more links whole; each is written to the shared folder."""
-    atoms = materialize(atoms, "atoms")
-    kept = _kept(atoms)
+    return wishes.where(~moving).select("grp", "counts").unionAll(granted.select("grp", F.transform("counts", after).alias("counts")))
+
+
+def _held(state: DataFrame, shards: int) -> tuple[list[int], float]:
+    """How many linked documents each shard holds, and the links kept whole: ordered pairs of linked documents in one shard."""
+    whole = F.aggregate("counts", F.lit(0.0), lambda total, n: total + n.cast("double") * n)
+    row = state.agg(*[F.sum(F.get("counts", F.lit(s))) for s in range(shards)], F.sum(whole)).first()
+    return [n or 0 for n in row[:shards]], row[shards] or 0.0
+
+
+def propagate(state: DataFrame, quotas: list[int], rounds: int = 16) -> tuple[DataFrame, list[int]]:
+    """Rounds while they keep more links whole, each written to the shared folder; and what every shard then holds."""
+    state = materialize(state, "labels")
+    held, kept = _held(state, len(quotas))
     for _ in range(rounds):
-        after = materialize(_round(atoms, _room(atoms, quotas)), "atoms")
-        now = _kept(after)
+        after = materialize(_round(state, [q - h for q, h in zip(quotas, held)]), "labels")
+        now_held, now = _held(after, len(quotas))
         if now <= kept:
             break
-        atoms, kept = after, now
-    return atoms
+        state, held, kept = after, now_held, now
+    return state, held
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16) -> DataFrame:
@@ -76,57 +101,45 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     Null text has size 1 and counts as an empty text; null ids and repeated rows each take a place; an empty table
     gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = materialize(docs.select(
-        F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        F.xxhash64(text, F.octet_length(text)).alias("grp"),
+        F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.md5(text)).alias("grp"),
     ), "sizes")
     total = rows.count()
-    quotas = local_table(spark, [(s, total // shards + (s < total % shards)) for s in range(shards)], "shard int, quota long")
-
-    groups = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    linked = rows.join(groups, "grp", "left_semi")
-    start = linked.groupBy("grp", F.pmod(F.xxhash64("doc_id", "grp"), F.lit(shards)).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
-    atoms = propagate(_within(start, quotas), quotas)
-
-    upto = Window.partitionBy("grp").orderBy("shard")
-    ranges = atoms.select("grp", "shard", (F.sum("n").over(upto) - F.col("n")).alias("low"), F.sum("n").over(upto).alias("high"))
-    whole = ranges.where("low = 0").join(atoms.groupBy("grp").agg(F.count(F.lit(1)).alias("parts")).where("parts = 1"), "grp", "left_semi")
-    together = linked.join(whole.select("grp", "shard"), "grp")
-    split = ranges.join(whole, "grp", "left_anti")
-    ranked = numbered(linked.join(split.select("grp").distinct(), "grp", "left_semi"), ["grp"], ["doc_id", "size", "text_crc32"], "rank")
-    apart = ranked.join(F.broadcast(split) if split.count() <= 100_000 else split, "grp").where("rank >= low and rank < high").select(*rows.columns, "shard")
-
-    free = Window.orderBy("to")  # one row a shard
-    room = _room(atoms, quotas).select(F.col("to").alias("shard"), (F.sum("free").over(free) - F.col("free")).alias("low"), F.sum("free").over(free).alias("high"))
-    alone = numbered(rows.join(groups, "grp", "left_anti").withColumn("all", F.lit(0)), ["all"], ["doc_id", "grp", "size"], "rank")
-    filled = alone.join(F.broadcast(room), (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))).select(*rows.columns, "shard")
-
-    placed = materialize(together.select(*rows.columns, "shard").unionAll(apart).unionAll(filled), "placed")
-    return numbered(placed, ["shard"], ["doc_id", "grp", "size"], "slot").select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+    quotas = [total // shards + (s < total % shards) for s in range(shards)]
+
+    # parts of a group by the hash of the row, so that a group may be of any size
+    salted = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    parts = materialize(salted.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("n")), "parts")
+    groups = materialize(parts.groupBy("grp").agg(F.sum("n").alias("members")), "groups")
+    state, held = propagate(_dealt(groups.where("members > 1"), shards), quotas)
+
+    # (grp, shard, low, n): members low to low + n - 1 of the group go to the shard
+    spans = F.transform("counts", lambda n, s: F.struct(s.alias("shard"), n.alias("n"), _sum(F.slice("counts", 1, s)).alias("low")))
+    linked = state.select("grp", F.inline(F.filter(spans, lambda x: x["n"] > 0)))
+    linked = _ahead(linked, ["shard"], "n", "slot").select("grp", "shard", "n", "low", "slot")
+    alone = _ahead(groups.where("members = 1"), [], "members", "ahead").select("grp", _place(F.col("ahead"), quotas, held).alias("at")).select(
+        "grp", "at.shard", F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("low"), "at.slot"
+    )
+    places = linked.unionAll(alone).groupBy("grp").agg(F.collect_list(F.struct("shard", "n", "low", "slot")).alias("places"))  # at most one a shard
+
+    before = F.sum("n").over(Window.partitionBy("grp").orderBy("part")) - F.col("n")  # at most SALTS rows a group
+    found = parts.select("grp", "part", before.alias("before")).join(places, "grp")
+    inside = F.row_number().over(Window.partitionBy("grp", "part").orderBy("doc_id", "size")) - 1
+    ranked = salted.withColumn("inside", inside).join(found, ["grp", "part"]).withColumn("rank", F.col("before") + F.col("inside"))
+    mine = F.filter("places", lambda p: (F.col("rank") >= p["low"]) & (F.col("rank") < p["low"] + p["n"]))[0]
+    return ranked.withColumn("at", mine).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "at.shard",
+        (F.col("at.slot") + F.col("rank") - F.col("at.low")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
 
 
-def _within(start: DataFrame, quotas: DataFrame) -> DataFrame:
-    """The start with nothing over a quota: what a shard has too much of moves on to shards with room."""
-    atoms = materialize(start, "atoms")
-    room = [(r["to"], r["free"]) for r in _room(atoms, quotas).collect()]  # a row per shard
-    over, under = [[s, -f] for s, f in room if f < 0], [[s, f] for s, f in room if f > 0]
-    spark, plan = atoms.sparkSession, []
-    for item in over:
-        for other in under:
-            n = min(item[1], other[1])
-            if n > 0:
-                plan.append((item[0], other[0], n))
-                item[1] -= n
-                other[1] -= n
-    if not plan:
-        return atoms
-    for source, to, n in plan:
-        limit = local_table(spark, [(to, n)], "to int, free long")
-        granted = _granted(atoms.where(F.col("shard") == source).select("grp", "shard", F.lit(to).alias("to"), "n", F.col("n").alias("gain")), limit)
-        changes = granted.select("grp", "shard", (-F.col("n")).alias("n")).unionAll(granted.select("grp", F.col("to").alias("shard"), "n"))
-        atoms = materialize(atoms.unionAll(changes).groupBy("grp", "shard").agg(F.sum("n").alias("n")).where("n > 0"), "atoms")
-    return atoms
+def _place(rank: Column, quotas: list[int], held: list[int]) -> Column:
+    """Shard and slot of the unlinked document of this rank: they fill the places that the linked ones leave."""
+    place, low = None, 0
+    for s, (quota, taken) in enumerate(zip(quotas, held)):
+        high = low + quota - taken
+        here = F.struct(F.lit(s).alias("shard"), (rank - low + taken).alias("slot"))
+        place = F.when(rank < high, here) if place is None else place.when(rank < high, here)
+        low = high
+    return place
