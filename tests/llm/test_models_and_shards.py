@@ -131,6 +131,11 @@ def test_shards(make, odd_rows, docs):
     assert len({r["shard"] for r in got if r["doc_id"] and 100 <= r["doc_id"] < 250}) <= 8
     law([(r["doc_id"], r["text"]) for r in docs.collect()], shards.shard(docs).collect())
     law(rows[:3], shards.shard(make(rows[:3])).collect())
+    hot = [*[(i, "hot") for i in range(200)], *[(1000 + i, f"pair {i // 2}") for i in range(360)], *[(2000 + i, None) for i in range(37)], (None, "hot"), (7, "hot")]
+    got = shards.shard(make(hot)).collect()
+    law(hot, got)
+    held = Counter(r["shard"] for r in got if r["size"] == 4)
+    assert len(held) <= 9  # 202 of 599 rows; a shard takes 37 or 38
     assert shards.shard(make([])).count() == 0
 
 

@@ -2,11 +2,12 @@
 
 Documents with equal texts are linked (a star through the text's key, never pairs).  Documents of one text in one shard
 are interchangeable, so a group is one row: its key and how many of its members are in each shard, however large it is.
-The start deals all linked documents round the shards, which keeps every quota.  In each round a group's members wish to
-join the shard with room where most of the group already is; the wishes are joined with the room that is left and
-granted up to it, in exact running order, the largest first.  Rounds go on while they keep more links whole.  Unlinked
-documents have no edges: they fill what is left, so that the law `rows` holds exactly: shard s gets floor(N / shards)
-documents, one more if s < N mod shards.
+The start cuts all linked documents, in the order of their groups' hashes, into equal ranges, which keeps every quota even
+where there is no unlinked document to make room.  In each round the members of a group that is in several shards wish to
+join the shard with room where most of the group already is; the wishes are joined with the room that is left and granted
+up to it, in exact running order, the largest first.  Rounds go on while they keep more links whole.  Unlinked documents
+have no edges: they fill what is left, so that the law `rows` holds exactly: shard s gets floor(N / shards) documents, one
+more if s < N mod shards.
 """
 
 from __future__ import annotations
@@ -18,18 +19,18 @@ from pyspark.sql import functions as F
 
 from vantage.session import materialize
 
-LANES = 64
+LANES = 4096
 SALTS = 1024
 
 
-def _ahead(df: DataFrame, keys: Sequence[str], value: str, name: str, rank: Column | None = None) -> DataFrame:
+def _ahead(df: DataFrame, keys: Sequence[str], value: str, name: str, rank: Column | None = None, lanes: int = LANES) -> DataFrame:
     """The sum of `value` over the rows before each one within `keys`, without a task per key.
 
     Rows are dealt to lanes by `rank` (0 to 63, first if lower) and the hash of the group; the totals of the lanes, at
-    most 4096 a key, are summed and joined to running sums inside a lane.
+    most `lanes` a key and rank, are summed and joined to running sums inside a lane.
     """
-    lane = F.pmod(F.xxhash64("grp"), F.lit(LANES)).cast("int")
-    rows = df.withColumn("lane", lane if rank is None else rank * LANES + lane)
+    lane = F.pmod(F.xxhash64("grp"), F.lit(lanes)).cast("int")
+    rows = df.withColumn("lane", lane if rank is None else rank * lanes + lane)
     by = [*keys, "lane"]
     totals = rows.groupBy(*by).agg(F.sum(value).alias("sum")).select(
         *by, (F.sum("sum").over(Window.partitionBy(*keys).orderBy("lane")) - F.col("sum")).alias("before")
@@ -42,10 +43,13 @@ def _sum(array: Column) -> Column:
     return F.aggregate(array, F.lit(0).cast("long"), lambda total, n: total + n)
 
 
-def _dealt(groups: DataFrame, shards: int) -> DataFrame:
-    """The start: (grp, counts) with the members of all groups, one group after the other, dealt round the shards."""
-    upto = [f"(ahead + members + {shards - 1 - s}) div {shards} - (ahead + {shards - 1 - s}) div {shards}" for s in range(shards)]
-    return _ahead(groups, [], "members", "ahead").select("grp", F.array(*[F.expr(e) for e in upto]).alias("counts"))
+def _ranges(groups: DataFrame, shards: int) -> DataFrame:
+    """The start: (grp, counts) with the members of all groups, one group after the other, cut into equal ranges."""
+    linked = groups.agg(F.sum("members")).first()[0] or 0
+    cuts = [s * (linked // shards) + min(s, linked % shards) for s in range(shards + 1)]
+    ahead, upto = F.col("ahead"), F.col("ahead") + F.col("members")
+    counts = [F.greatest(F.least(upto, F.lit(high)) - F.greatest(ahead, F.lit(low)), F.lit(0)).cast("long") for low, high in zip(cuts, cuts[1:])]
+    return _ahead(groups, [], "members", "ahead").select("grp", F.array(*counts).alias("counts"))
 
 
 def _wishes(state: DataFrame, free: list[int]) -> DataFrame:
@@ -65,7 +69,7 @@ def _round(state: DataFrame, free: list[int]) -> DataFrame:
     """One round of propagation over (grp, counts)."""
     wishes = _wishes(state, free)
     moving = F.coalesce(F.col("wish") > 0, F.lit(False))
-    asked = _ahead(wishes.where(moving), ["to"], "wish", "ahead", rank=63 - F.floor(F.log2("wish")).cast("int"))
+    asked = _ahead(wishes.where(moving), ["to"], "wish", "ahead", rank=63 - F.floor(F.log2("wish")).cast("int"), lanes=128)
     granted = asked.withColumn("granted", F.greatest(F.least("wish", F.col("free") - F.col("ahead")), F.lit(0).cast("long")))
 
     def after(n: Column, s: Column) -> Column:
@@ -112,12 +116,12 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     salted = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     parts = materialize(salted.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("n")), "parts")
     groups = materialize(parts.groupBy("grp").agg(F.sum("n").alias("members")), "groups")
-    state, held = propagate(_dealt(groups.where("members > 1"), shards), quotas)
+    state, held = propagate(_ranges(groups.where("members > 1"), shards), quotas)
 
     # (grp, shard, low, n): members low to low + n - 1 of the group go to the shard
     spans = F.transform("counts", lambda n, s: F.struct(s.alias("shard"), n.alias("n"), _sum(F.slice("counts", 1, s)).alias("low")))
     linked = state.select("grp", F.inline(F.filter(spans, lambda x: x["n"] > 0)))
-    linked = _ahead(linked, ["shard"], "n", "slot").select("grp", "shard", "n", "low", "slot")
+    linked = _ahead(linked, ["shard"], "n", "slot", lanes=512).select("grp", "shard", "n", "low", "slot")
     alone = _ahead(groups.where("members = 1"), [], "members", "ahead").select("grp", _place(F.col("ahead"), quotas, held).alias("at")).select(
         "grp", "at.shard", F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("low"), "at.slot"
     )
