@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -158,3 +159,15 @@ def test_license_lines_of_given_documents(spark):
     for r in docs.collect():
         want = {n for n, t in licenses.TEMPLATES.items() if t in r["text"]}
         assert want <= got[r["doc_id"]] and (want or not got[r["doc_id"]] or "icen" in r["text"])
+
+
+def licences_in(text):
+    return [m[0] for m in licenses.Matcher(licenses.TEMPLATES).scan(text)[1]]
+
+
+def test_every_notice_on_one_line_and_short_ones_wrapped():
+    for name, template in licenses.TEMPLATES.items():
+        assert licences_in(template) == licences_in(f"Some text.\n{template} More text.") == [name]
+        for width in range(50, 79) if len(template.split()) <= 20 else ():
+            assert licences_in(textwrap.fill(template, width, initial_indent="# ", subsequent_indent="# ")) == [name], (name, width)
+    assert licences_in("Released under the MIT\n// License.") == ["MIT"] and licences_in("Released under the MIT\nor another License.") == []
