@@ -171,3 +171,12 @@ def test_every_notice_on_one_line_and_short_ones_wrapped():
         for width in range(50, 79) if len(template.split()) <= 20 else ():
             assert licences_in(textwrap.fill(template, width, initial_indent="# ", subsequent_indent="# ")) == [name], (name, width)
     assert licences_in("Released under the MIT\n// License.") == ["MIT"] and licences_in("Released under the MIT\nor another License.") == []
+
+
+def test_long_licences_wrapped_at_any_width():
+    for name, template in licenses.TEMPLATES.items():
+        for width in range(40, 79):
+            comment = textwrap.fill(template, width, initial_indent=" * ", subsequent_indent=" * ")
+            assert licences_in(comment) == licences_in(f"import os\n\n{comment}\n\nx = 1\ny = 2\n") == [name], (name, width)
+    cut = licenses.TEMPLATES["MIT-text"].replace("free of charge, to any person ", "")
+    assert licences_in(textwrap.fill(cut, 60)) == []
