@@ -180,3 +180,12 @@ def test_long_licences_wrapped_at_any_width():
             assert licences_in(comment) == licences_in(f"import os\n\n{comment}\n\nx = 1\ny = 2\n") == [name], (name, width)
     cut = licenses.TEMPLATES["MIT-text"].replace("free of charge, to any person ", "")
     assert licences_in(textwrap.fill(cut, 60)) == []
+
+
+def test_all_licences_of_a_notices_file():
+    t = licenses.TEMPLATES
+    names = ["MIT-text", "BSD-3-Clause", "Apache-2.0-header", "MIT-text", "GPL-3.0-header", "MPL-2.0", "MIT", "MIT-text"]
+    assert licences_in("\n".join(t[n] for n in names)) == names
+    for width in (50, 60, 78):
+        assert licences_in("\n\n".join(f"Part {i}\n" + textwrap.fill(t[n], width) for i, n in enumerate(names))) == names, width
+    assert licences_in("Released under the MIT License; Licensed under CC BY 4.0.") == ["MIT", "CC-BY-4.0"]
