@@ -189,3 +189,11 @@ def test_all_licences_of_a_notices_file():
     for width in (50, 60, 78):
         assert licences_in("\n\n".join(f"Part {i}\n" + textwrap.fill(t[n], width) for i, n in enumerate(names))) == names, width
     assert licences_in("Released under the MIT License; Licensed under CC BY 4.0.") == ["MIT", "CC-BY-4.0"]
+
+
+def test_short_notices_behind_prose_like_a_long_licence():
+    prose = "Permission to use, copy, modify and distribute the software and its documentation, with or without modification, is granted provided that the above copyright notice, this list of conditions and the following disclaimer appear in all copies or substantial portions of the software and in the documentation and other materials provided with the distribution, subject to the terms and conditions of the license and limitations under applicable law, "
+    for name, template in licenses.TEMPLATES.items():
+        assert licences_in(prose + template) == [name]
+    many = {f"long {i}": prose + f"number {i}" for i in range(20)} | licenses.TEMPLATES
+    assert [m[0] for m in licenses.Matcher(many).scan(prose + licenses.TEMPLATES["MIT"])[1]] == ["MIT"]
