@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -105,3 +106,21 @@ def test_components_of_chains_and_stars(spark):
             a, b = sorted((top(u), top(v)))
             parent[b] = a
     assert got == {x: top(x) for x in parent if x != top(x)}
+
+
+def test_blocks_of_many_short_texts_are_bounded(spark):
+    """Texts of 3 shingles, two of them in all: no links, all strays."""
+    rows, height = 5000, 500
+    open_rows = spark.range(rows).selectExpr("7L bucket", "id", "id root", "3L n", "id > 0 stray")
+    dealt = neardup._dealt(open_rows, 200_000, height).groupBy("bucket", "i", "j").agg({"id": "count"}).collect()
+    assert max(r[-1] for r in dealt) < 2.5 * height and sum(r[-1] for r in dealt) == (2 * rows - 1) * (rows // height + 1)
+
+    count = 3000
+    sets = [np.array([1, 2, 10 + i // 2]) for i in range(count)]
+    ids = np.arange(count)
+    tracemalloc.start()
+    found = neardup.block_links(np.tile(ids, 2), np.tile(ids, 2), sets * 2, np.arange(2 * count) < count, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(found) == [(i, i + 1, 1.0) for i in range(0, count, 2)]
+    assert peak < 12 * count * 2 * count

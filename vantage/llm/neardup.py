@@ -225,12 +225,12 @@ def block_links(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], stra
     row, column = row[order], column[order]
     strays = np.flatnonzero(stray)
     same = np.zeros((len(strays), len(sets)), np.float32)
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+    columns = int(column[-1]) + 1 if len(column) else 0
+    for start in range(0, columns, 2048):
         part = slice(np.searchsorted(column, start), np.searchsorted(column, start + 2048))
-        matrix = np.zeros((len(sets), 2048), np.float32)
+        matrix = np.zeros((len(sets), min(2048, columns - start)), np.float32)
         matrix[row[part], column[part] - start] = 1
         same += matrix[strays] @ matrix.T
-    likely = same / (sizes[strays][:, None] + sizes[None, :] - same)
     parent: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -239,30 +239,38 @@ def block_links(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], stra
         return x
 
     out = []
-    for i, j in zip(*np.nonzero(likely >= threshold), strict=True):
-        a, b = top(int(roots[strays[i]])), top(int(roots[j]))
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            out.append((int(ids[strays[i]]), int(ids[j]), float(likely[i, j])))
+    for start in range(0, len(strays), 256):  # a strip of strays at a time, so that the wide temporaries stay small
+        strip = strays[start:start + 256]
+        likely = same[start:start + 256] / (sizes[strip][:, None] + sizes[None, :] - same[start:start + 256])
+        for i, j in zip(*np.nonzero(likely >= threshold), strict=True):
+            a, b = top(int(roots[strip[i]])), top(int(roots[j]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((int(ids[strip[i]]), int(ids[j]), float(likely[i, j])))
     return out
 
 
-def _blocks(open_rows: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Links in the large open buckets: strays and members dealt into blocks of about `block` units, each pair of blocks one task's group."""
-    parts = open_rows.groupBy("bucket").agg((F.sum("n") / block).cast("int").alias("parts"))
+def _dealt(open_rows: DataFrame, block: int, height: int) -> DataFrame:
+    """Rows (bucket, id, root, i, j, stray): the strays of part i and the members of part j, parts of about `block` units and `height` rows at most."""
+    parts = open_rows.groupBy("bucket").agg(F.greatest(F.sum("n") / block, F.count(F.lit(1)) / height).cast("int").alias("parts"))
     rows = open_rows.join(parts, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts") + 1))
     every = F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long"))
     strays = rows.where("stray").select("bucket", "id", "root", F.col("own").alias("i"), F.explode(every).alias("j"), F.lit(True).alias("stray"))
     others = rows.select("bucket", "id", "root", F.explode(every).alias("i"), F.col("own").alias("j"), F.lit(False).alias("stray"))
+    return strays.unionAll(others)
+
+
+def _blocks(open_rows: DataFrame, sets: DataFrame, threshold: float, block: int, height: int) -> DataFrame:
+    """Links in the large open buckets, each pair of parts one task's group: 4 bytes for each of its strays and rows, some 70 MB with the product."""
 
     def find(frame: pd.DataFrame) -> pd.DataFrame:
         found = block_links(frame["id"].to_numpy(), frame["root"].to_numpy(), frame["units"].tolist(), frame["stray"].to_numpy(), threshold)
         return pd.DataFrame(found, columns=["u", "v", "similarity"])
 
-    return strays.unionAll(others).join(sets, "id").groupBy("bucket", "i", "j").applyInPandas(find, "u long, v long, similarity double")
+    return _dealt(open_rows, block, height).join(sets, "id").groupBy("bucket", "i", "j").applyInPandas(find, "u long, v long, similarity double")
 
 
-def links(members: DataFrame, sets: DataFrame, threshold: float, small: int = 16, block: int = 200_000) -> DataFrame:
+def links(members: DataFrame, sets: DataFrame, threshold: float, small: int = 16, block: int = 200_000, height: int = 2000) -> DataFrame:
     """All links found, rows (u, v, similarity): enough of them to connect every group.
 
     `members` has (bucket, id, n, size) for buckets of two texts or more, `sets` (id, units).
@@ -280,7 +288,7 @@ def links(members: DataFrame, sets: DataFrame, threshold: float, small: int = 16
     few = rows.where(F.col("size") <= small)
     strays = few.where("stray").select("bucket", F.col("id").alias("u"), F.col("n").alias("u_n"), F.col("root").alias("u_root"))
     pairs = few.join(strays, "bucket").where(f"root <> u_root and (not stray or id < u) and {fits}").select("u", F.col("id").alias("v")).distinct()
-    more = _compared(pairs, sets, threshold).unionAll(_blocks(rows.where(F.col("size") > small), sets, threshold, block))
+    more = _compared(pairs, sets, threshold).unionAll(_blocks(rows.where(F.col("size") > small), sets, threshold, block, height))
     return found.unionAll(materialize(more, "links"))
 
 
