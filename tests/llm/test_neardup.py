@@ -124,3 +124,10 @@ def test_blocks_of_many_short_texts_are_bounded(spark):
     tracemalloc.stop()
     assert sorted(found) == [(i, i + 1, 1.0) for i in range(0, count, 2)]
     assert peak < 12 * count * 2 * count
+
+
+def test_equal_texts_without_words_are_one_group(make):
+    rows = [(1, "-----"), (2, "-----"), (3, "!!!"), (4, "----"), (5, ""), (6, ""), (7, "!!!"), (8, None), (9, "some words")]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.groups(make(rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 3, 8: 8, 9: 9}
+    assert {r["doc_id"] for r in neardup.keep_first(make(rows)).collect()} == {1, 3, 4, 5, 6, 8, 9}

@@ -128,7 +128,7 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int) -> DataFrame:
-    """Rows (doc_id, text_key, words_key, n, buckets): text digest, digest of the words, number of shingles."""
+    """Rows (doc_id, text_key, words_key, n, buckets): text digest, digest of the words (of a text without words the text itself; null if null or empty), number of shingles."""
 
     @pandas_udf("words_key binary, n long, buckets array<long>")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -140,7 +140,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, bands: in
                 sets = [shingler.shingles(w) for w in listed]
                 number = np.repeat(np.arange(len(sets)), [len(e) for e, _ in sets])
                 ranks = dart_minhash(np.concatenate([e for e, _ in sets]), np.concatenate([c for _, c in sets]).astype(float), number, len(sets), bands * rows)
-                keys = [xxhash.xxh128_digest(" ".join(w).encode()) if w else None for w in listed]
+                keys = [xxhash.xxh128_digest((" ".join(w) if w else f"\0{t}").encode()) if t else None for t, w in zip(texts.iloc[start:start + 256], listed, strict=True)]
                 out.append(pd.DataFrame({"words_key": keys, "n": [int(c.sum()) for _, c in sets], "buckets": list(bands_of(ranks, bands))}))
             yield pd.concat(out) if out else pd.DataFrame({"words_key": [], "n": [], "buckets": []})
 
@@ -297,8 +297,8 @@ def groups(
 ) -> DataFrame:
     """Rows (doc_id, text_key, class_id), one per input row: `class_id` is the least id of the group.
 
-    A link of likeness 0.8 shares no band with probability 6e-6 at 40 bands of 6 rows, a likelier one less.  Null texts
-    and texts without words are linked with nothing: their class is their own id.  Rows of one id count as one document of the links.  Repeated rows and equal texts are one
+    A link of likeness 0.8 shares no band with probability 6e-6 at 40 bands of 6 rows, a likelier one less.  Null and
+    empty texts are linked with nothing: their class is their own id; texts without words only with equal texts.  Rows of one id count as one document of the links.  Repeated rows and equal texts are one
     group; null ids stay, with a null class unless their text has a group; an empty table gives no rows; other columns
     are ignored.
     """
@@ -307,7 +307,7 @@ def groups(
         signed.where("words_key is not null and doc_id is not null").groupBy("words_key")
         .agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("n").alias("n"), F.first("buckets").alias("buckets"))
         .select("words_key", F.col("first.doc_id").alias("id"), F.col("first.text_key").alias("text_key"), "n", "buckets"), "firsts")
-    all_members = firsts.select(F.explode("buckets").alias("bucket"), "id", "n")
+    all_members = firsts.where("n > 0").select(F.explode("buckets").alias("bucket"), "id", "n")
     full = all_members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialize(all_members.join(full, "bucket"), "members")
     due = members.select("id").distinct().join(firsts.select("id", "text_key"), "id")
@@ -321,7 +321,7 @@ def groups(
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One whole row of each group, that of the least id, all columns; rows without words or id all stay."""
+    """One whole row of each group, that of the least id, all columns; rows without text or id all stay."""
     found = groups(docs, id_col, text_col, **options)
     gone = found.where("class_id <> doc_id").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
     left = docs.join(gone, F.col(id_col).eqNullSafe(F.col("gone_id")) & F.sha2(text_col, 256).eqNullSafe(F.col("gone_key")), "left_anti")
