@@ -197,3 +197,15 @@ def test_short_notices_behind_prose_like_a_long_licence():
         assert licences_in(prose + template) == [name]
     many = {f"long {i}": prose + f"number {i}" for i in range(20)} | licenses.TEMPLATES
     assert [m[0] for m in licenses.Matcher(many).scan(prose + licenses.TEMPLATES["MIT"])[1]] == ["MIT"]
+
+
+def test_every_language_is_drawn_and_repeated_rows_count_once(make, monkeypatch):
+    rows = [(i, f"common words number {i}", "en") for i in range(400)] + [(i, f"mots rares {i}", "fr") for i in range(1000, 1008)] + [(5, "common words number 5", "en")] * 300
+    learned = []
+    monkeypatch.setattr(langid.ByteNet, "train", lambda self, x, y: learned.append(Counter(self.languages[i] for i in y)) or self)
+    free = sum(crc_fold(i, 4) != 2 for i in range(1000, 1008))
+    assert langid.train(make(rows), bound=3, per_text=1).languages == ["en", "fr"] and free
+    langid.train(make(rows), bound=1000, per_text=1)
+    assert learned[0]["fr"] == learned[1]["fr"] == free and learned[1]["en"] == sum(crc_fold(i, 4) != 2 for i in range(400))
+    ids = make(rows).selectExpr("doc_id id")
+    assert len(quality._sampled(make(rows), ids, 1000, "doc_id", "text")) == 408

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -136,8 +136,11 @@ class ByteNet:
         return names, scores
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held: int = 2, folds: int = 4, bound: int = 2500, per_text: int = 4) -> ByteNet | None:
-    """Learns from at most `bound` documents (those of least hash) outside fold `held` with a language, `per_text` windows spread over each whole text.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held: int = 2, folds: int = 4, bound: int = 2500, per_text: int = 4, each: int = 50) -> ByteNet | None:
+    """Learns from documents outside fold `held` with a language, `per_text` windows spread over each whole text.
+
+    At most `bound` documents (those of least hash) and besides, so that no language is left out, at most `each` of every
+    language (documented bounds); repeated rows of an id and language count once, with the least text.
 
     None if there are no such documents.
     """
@@ -153,8 +156,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 out.append([rows[i].tobytes() for i in np.unique(np.linspace(0, len(rows) - 1, per_text).astype(int))])
             yield pd.Series(out, dtype=object)
 
-    chosen = own.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(bound)
-    rows = sorted((r["id"], r["lang"], r["x"]) for r in own.join(F.broadcast(chosen), "id").select("id", "lang", some("text").alias("x")).collect())
+    every = own.select("id", "lang").distinct()
+    drawn = every.orderBy(F.xxhash64("id"), "id", "lang").limit(bound)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    chosen = drawn.unionAll(every.withColumn("place", place).where(F.col("place") <= each).drop("place")).distinct()
+    once = own.join(F.broadcast(chosen), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text"))
+    rows = sorted((r["id"], r["lang"], r["x"]) for r in once.select("id", "lang", some("text").alias("x")).collect())
     if not rows:
         return None
     languages = sorted({lang for _, lang, _ in rows})

@@ -111,10 +111,11 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
 
 
 def _sampled(docs: DataFrame, ids: DataFrame, bound: int, id_col: str, text_col: str) -> np.ndarray:
-    """Shapes of the `bound` ids of least hash."""
+    """Shapes of the `bound` ids of least hash, one row of each (the least text)."""
     chosen = ids.select(F.col("id")).where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(bound)
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = text.join(F.broadcast(chosen), "id").select(shapes(F.col("text")).alias("x")).collect()
+    once = text.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"))
+    rows = once.select(shapes(F.col("text")).alias("x")).collect()
     return np.array([r["x"] for r in rows]).reshape(-1, len(NAMES))
 
 
