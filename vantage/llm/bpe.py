@@ -4,7 +4,7 @@ Two bytes that stand side by side inside no vocabulary token can never be merged
 The fragments are encoded independently and their ids concatenated.  Pre-splitting looks at more than byte pairs, so a
 cut is made only where it does not change that either: between characters, not after white space (the rule for white
 space looks ahead), not before an apostrophe (contractions) and not inside a special token's string.  Fragments are
-mostly words, so each worker keeps the ids and the decoded bytes of those it has seen, up to `keep` of them.
+mostly words, so each worker keeps the ids of those it has seen, up to a number of bytes.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ import hashlib
 import json
 import os
 import re
-from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -32,9 +31,17 @@ def byte_letters() -> dict[str, int]:
 
 
 class FragmentCodec:
-    """Encodes and decodes whole texts, fragment by fragment."""
+    """Encodes and decodes whole texts, fragment by fragment.
 
-    def __init__(self, path: str, keep: int = 300_000):
+    A block of text is worked on at once: fragments get a 64-bit key each, are looked up among those seen before in one
+    search, and compared with them byte by byte, so equal keys of different fragments do no harm.  Past `keep` bytes
+    with their ids all are forgotten before the next block; fragments of more than `LONG` bytes are never kept.
+    """
+
+    LONG = 256
+    BLOCK = 1 << 20
+
+    def __init__(self, path: str, keep: int = 64 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel ones
         from tokenizers import Tokenizer
 
@@ -47,59 +54,139 @@ class FragmentCodec:
         self.tokens = {i: bytes(letters[c] for c in token) for token, i in spec["model"]["vocab"].items()}
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.tokens |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
-        self.never = np.ones((256, 256), dtype=bool)
+        listed = [self.tokens.get(i, b"") for i in range(max(self.tokens) + 1)]
+        self.token_size = np.array([len(t) for t in listed])
+        self.token_start = np.cumsum(self.token_size) - self.token_size
+        self.token_bytes = np.frombuffer(b"".join(listed), np.uint8)
+        never = np.ones((256, 256), dtype=bool)
         for token in self.tokens.values():
             for a, b in zip(token, token[1:], strict=False):
-                self.never[a, b] = False
+                never[a, b] = False
         for c in map(chr, range(0x3001)):
             if c.isspace():
-                self.never[c.encode()[-1], :] = False
-        self.never[:, 0x80:0xC0] = False  # inside a character
-        self.never[:, ord("'")] = False
+                never[c.encode()[-1], :] = False
+        never[:, 0x80:0xC0] = False  # inside a character
+        never[:, ord("'")] = False
+        self.never = never.ravel()
         self.whole = re.compile("|".join(re.escape(s) for s in self.special).encode()) if self.special else None
-        self.known: dict[bytes, tuple[bytes, bytes]] = {}
-
-    def fragments(self, raw: bytes) -> list[bytes]:
-        codes = np.frombuffer(raw, dtype=np.uint8)
-        cut = self.never[codes[:-1], codes[1:]]
+        rng = np.random.default_rng(1)
+        self.letter_key, self.place_key = (rng.integers(1, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1) for n in (256, self.LONG))
+        self._forget()
+
+    def _forget(self) -> None:
+        """No fragment is known but a stand-in that equals none."""
+        self.keys, self.raw, self.ids = np.zeros(1, np.uint64), np.zeros(1, np.uint8), np.zeros(1, np.uint32)
+        self.raw_start, self.raw_size, self.id_start, self.id_size = (np.zeros(1, np.int64) for _ in range(4))
+
+    def cuts(self, raw: bytes) -> np.ndarray:
+        """For each byte whether a fragment ends behind it."""
+        codes = np.frombuffer(raw, np.uint8)
+        cut = np.ones(len(codes), dtype=bool)
+        cut[:-1] = self.never[(codes[:-1].astype(np.uint16) << 8) | codes[1:]]
         if self.whole:
             for m in self.whole.finditer(raw):
                 cut[m.start():m.end() - 1] = False
-        edges = [0, *(np.flatnonzero(cut) + 1).tolist(), len(raw)]
-        return [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)]
-
-    def _learn(self, new: list[bytes]) -> None:
-        for start in range(0, len(new), 8192):
-            part = new[start:start + 8192]
-            for raw, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-                ids = e.ids
-                self.known[raw] = (array("I", ids).tobytes(), b"".join(map(self.tokens.__getitem__, ids)))
-
-    def _all(self, texts: list[str]) -> Iterator[list[tuple[bytes, bytes]]]:
-        """Ids and decoded bytes of the fragments of each text; fragments not seen before are encoded together."""
-        for start in range(0, len(texts), 256):
-            if len(self.known) > self.keep:
-                self.known.clear()
-            parts = [self.fragments(t.encode()) if t else [] for t in texts[start:start + 256]]
-            self._learn(list(set(chain.from_iterable(parts)).difference(self.known)))
-            for own in parts:
-                yield list(map(self.known.__getitem__, own))
+        return cut
+
+    def _known(self, codes: np.ndarray, keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The place of each fragment among the known ones, -1 if it is not there."""
+        slot = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = (self.keys[slot] == keys) & (self.raw_size[slot] == sizes)
+        starts, sizes, at = starts[hit], sizes[hit], slot[hit]
+        if len(at):
+            inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            equal = codes[inner + np.repeat(starts, sizes)] == self.raw[inner + np.repeat(self.raw_start[at], sizes)]
+            hit[hit] = np.logical_and.reduceat(equal, np.cumsum(sizes) - sizes)
+        return np.where(hit, slot, -1)
+
+    def _learn(self, keys: np.ndarray, new: list[bytes]) -> None:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)]
+        sizes, counts = np.array([len(x) for x in new]), np.array([len(x) for x in ids])
+        starts, id_starts = len(self.raw) + np.cumsum(sizes) - sizes, len(self.ids) + np.cumsum(counts) - counts
+        self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(new), np.uint8)])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.uint32, counts.sum())])
+        place = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, place, keys)
+        self.raw_start, self.raw_size = np.insert(self.raw_start, place, starts), np.insert(self.raw_size, place, sizes)
+        self.id_start, self.id_size = np.insert(self.id_start, place, id_starts), np.insert(self.id_size, place, counts)
+
+    def _encode_block(self, raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a block cut into fragments that stop at `ends`, and the number of ids of each fragment."""
+        if self.raw.nbytes + self.ids.nbytes + 40 * len(self.keys) > self.keep:
+            self._forget()
+        codes, starts = np.frombuffer(raw, np.uint8), np.concatenate([[0], ends[:-1]])
+        sizes = ends - starts
+        place = np.minimum(np.arange(len(codes)) - np.repeat(starts, sizes), self.LONG - 1)
+        keys = np.add.reduceat(self.letter_key[codes] * self.place_key[place], starts)
+        slot = self._known(codes, keys, starts, sizes)
+        unseen = np.flatnonzero((slot < 0) & (sizes <= self.LONG))
+        if len(unseen):
+            new, first = np.unique(keys[unseen], return_index=True)
+            taken = self.keys[np.minimum(np.searchsorted(self.keys, new), len(self.keys) - 1)] == new
+            self._learn(new[~taken], [raw[starts[i]:ends[i]] for i in unseen[first[~taken]].tolist()])
+            slot = np.where(slot >= 0, np.searchsorted(self.keys, keys), slot)  # places moved
+            slot[unseen] = self._known(codes, keys[unseen], starts[unseen], sizes[unseen])
+        direct = np.flatnonzero(slot < 0).tolist()
+        own = [e.ids for e in self.tokenizer.encode_batch_fast([raw[starts[i]:ends[i]].decode() for i in direct], add_special_tokens=False)]
+        counts = np.where(slot < 0, 0, self.id_size[slot])
+        counts[direct] = [len(x) for x in own]
+        begin = np.cumsum(counts) - counts
+        ids = self.ids[np.arange(counts.sum()) * (np.repeat(slot, counts) >= 0) + np.repeat(np.where(slot < 0, 0, self.id_start[slot] - begin), counts)]
+        for i, x in zip(direct, own, strict=True):
+            ids[begin[i]:begin[i] + len(x)] = x
+        return ids, counts
 
     def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for both in self._all(texts):
-            yield np.frombuffer(b"".join([i for i, _ in both]), dtype="<u4")
+        """The ids of each text.  Short texts are joined to blocks, long ones cut into blocks where a fragment ends."""
+        waiting: list[tuple[bytes, np.ndarray]] = []
+        held = 0
+        for text in texts:
+            raw = (text or "").encode()
+            waiting.append((raw, np.flatnonzero(self.cuts(raw)) + 1))
+            held += len(raw)
+            if held >= self.BLOCK:
+                yield from self._blocks(waiting)
+                waiting, held = [], 0
+        yield from self._blocks(waiting)
+
+    def _blocks(self, waiting: list[tuple[bytes, np.ndarray]]) -> Iterator[np.ndarray]:
+        short = [(raw, ends) for raw, ends in waiting if len(raw) < self.BLOCK]
+        ids, per_text = np.zeros(0, np.uint32), iter(())
+        if any(raw for raw, _ in short):
+            sizes = np.array([len(raw) for raw, _ in short])
+            ends = np.concatenate([ends + a for (_, ends), a in zip(short, np.cumsum(sizes) - sizes, strict=True)])
+            ids, counts = self._encode_block(b"".join([raw for raw, _ in short]), ends)
+            upto = np.concatenate([[0], np.cumsum(counts)])
+            per_text = iter(np.split(ids, upto[np.cumsum([len(ends) for _, ends in short])[:-1]]))
+        for raw, ends in waiting:
+            if len(raw) < self.BLOCK:
+                yield next(per_text, ids)
+            else:
+                marks = np.unique(np.searchsorted(ends, [*range(self.BLOCK, len(raw), self.BLOCK), len(raw)])) + 1
+                parts, a, e = [], 0, 0
+                for m in marks.tolist():
+                    parts.append(self._encode_block(raw[a:ends[m - 1]], ends[e:m] - a)[0])
+                    a, e = int(ends[m - 1]), m
+                yield np.concatenate(parts)
 
     def encode(self, text: str) -> np.ndarray:
         return next(self.encode_all([text]))
 
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        """The bytes of the tokens, one after the other."""
+        sizes = self.token_size[ids]
+        inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return self.token_bytes[inner + np.repeat(self.token_start[ids], sizes)].tobytes()
+
     def decode(self, ids) -> str:
         """The text of ids, as the decoder writes it: bytes that are no UTF-8 become U+FFFD."""
-        return b"".join(map(self.tokens.__getitem__, map(int, ids))).decode("utf-8", "replace")
+        ids = np.asarray(ids, dtype=np.int64)
+        return b"".join(self.decode_bytes(ids[i:i + self.BLOCK]) for i in range(0, len(ids), self.BLOCK)).decode("utf-8", "replace")
 
     def round_trips(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """Ids as little-endian 32-bit integers, and the text decoded from them."""
-        for both in self._all(texts):
-            yield b"".join([i for i, _ in both]), b"".join([d for _, d in both]).decode("utf-8", "replace")
+        for ids in self.encode_all(texts):
+            yield ids.astype("<u4").tobytes(), self.decode(ids)
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", into: str = "ids") -> DataFrame:

@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from vantage.llm import bpe, decontaminate, langid, licenses, neardup, quality, secret_scan, shards, token_counts, winnow
+from vantage.llm import (
+    bpe, decontaminate, fim, hard_negatives, langid, licenses, neardup, packing, quality, secret_scan, shards, token_counts, winnow,
+)
 from vantage.llm.common import small_batches
 from vantage.session import configure, use_local_folder
 
@@ -63,6 +65,18 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(_read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(_read(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(hard_negatives.prepared(_read(spark, sf_dir, "embeddings")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(use_local_folder(configure(spark)), sf_dir)
 
@@ -71,7 +85,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_token_counts, op3_quality, op4_bpe, op5_near_dup, op6_fingerprints, op7_secrets, op8_shards,
-        op9_language, op10_licenses, pipeline,
+        op9_language, op10_licenses, op11_packing, op12_fill_in_middle, op13_hard_negatives, pipeline,
     )
 }
 
@@ -140,6 +154,59 @@ SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(
 FROM d LEFT JOIN listed ON d.r = listed.r
 """
 
-ORACLES = {"op1_decontaminate": OP1_SQL, "op7_secrets": OP7_SQL}
+OP12_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+    sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h
+  FROM documents
+),
+numbers AS (
+  SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+    CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4
+  FROM d
+),
+placed AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM numbers),
+parts AS (
+  SELECT doc_id, n, text, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m,
+    coalesce(array_to_string(u[b + 1:n], ''), '') AS s,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM placed
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
+OP13_SQL = """
+WITH given AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+points AS (SELECT DISTINCT * FROM given),
+scored AS (
+  SELECT a.vec_id AS anchor_id, p.vec_id, a.label = p.label AS same, a.v AS key,
+    list_sum(list_transform(list_zip(a.v, p.v), lambda x: x[1] * x[2])) AS score
+  FROM points a JOIN points p ON a.vec_id % 100 = 0 AND NOT (a.vec_id = p.vec_id AND a.label = p.label AND a.v = p.v)
+),
+positives AS (
+  SELECT anchor_id, key, vec_id AS positive_id, CAST(score AS BIGINT) AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id, key ORDER BY score DESC, vec_id) <= 5
+),
+ranked AS (
+  SELECT p.anchor_id, positive_id, positive_score, vec_id AS negative_id, CAST(score AS BIGINT) AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.key, positive_id ORDER BY score DESC, vec_id) AS rank
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND s.key = p.key AND NOT same
+    AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10
+"""
+
+ORACLES = {"op1_decontaminate": OP1_SQL, "op7_secrets": OP7_SQL, "op12_fill_in_middle": OP12_SQL, "op13_hard_negatives": OP13_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
