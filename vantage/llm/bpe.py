@@ -35,7 +35,7 @@ class FragmentCodec:
 
     A block of text is worked on at once: fragments get a 64-bit key each, are looked up among those seen before in one
     search, and compared with them byte by byte, so equal keys of different fragments do no harm.  Past `keep` bytes
-    with their ids all are forgotten before the next block; fragments of more than `LONG` bytes are never kept.
+    with their ids (and the table that finds them) all are forgotten before the next block; fragments of more than `LONG` bytes are never kept.
     """
 
     LONG = 256
@@ -74,9 +74,11 @@ class FragmentCodec:
         self._forget()
 
     def _forget(self) -> None:
-        """No fragment is known but a stand-in that equals none."""
-        self.keys, self.raw, self.ids = np.zeros(1, np.uint64), np.zeros(1, np.uint8), np.zeros(1, np.uint32)
-        self.raw_start, self.raw_size, self.id_start, self.id_size = (np.zeros(1, np.int64) for _ in range(4))
+        self.keys = np.zeros(0, np.uint64)
+        self.raw, self.ids = np.zeros(0, np.uint8), np.zeros(0, np.uint32)
+        self.raw_start, self.id_start = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.raw_size, self.id_size = np.zeros(0, np.uint16), np.zeros(0, np.uint16)
+        self.table, self.shift = np.full(1 << 12, -1, np.int32), np.uint64(64 - 12)
 
     def cuts(self, raw: bytes) -> np.ndarray:
         """For each byte whether a fragment ends behind it."""
@@ -88,31 +90,58 @@ class FragmentCodec:
                 cut[m.start():m.end() - 1] = False
         return cut
 
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of the fragment with each key, -1 if there is none: the key's first bits lead into a table of
+        numbers, and the search goes on from there to the next free place."""
+        place = (keys >> self.shift).astype(np.int64)
+        number = self.table[place]
+        open_ = np.flatnonzero(number >= 0)
+        while len(open_):
+            open_ = open_[self.keys[number[open_]] != keys[open_]]
+            place[open_] = (place[open_] + 1) & (len(self.table) - 1)
+            number[open_] = self.table[place[open_]]
+            open_ = open_[number[open_] >= 0]
+        return number
+
+    def _enter(self, numbers: np.ndarray) -> None:
+        """Put fragments, by their numbers, into the first free places; of two that want one place one goes on."""
+        place = (self.keys[numbers] >> self.shift).astype(np.int64)
+        while len(numbers):
+            free = self.table[place] < 0
+            self.table[place[free]] = numbers[free]
+            waits = self.table[place] != numbers
+            numbers, place = numbers[waits], (place[waits] + 1) & (len(self.table) - 1)
+
     def _known(self, codes: np.ndarray, keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """The place of each fragment among the known ones, -1 if it is not there."""
-        slot = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        hit = (self.keys[slot] == keys) & (self.raw_size[slot] == sizes)
-        starts, sizes, at = starts[hit], sizes[hit], slot[hit]
+        """The number of each fragment among the known ones, -1 if it is not there."""
+        number = self._find(keys)
+        hit = number >= 0
+        hit[hit] = self.raw_size[number[hit]] == sizes[hit]
+        starts, sizes, at = starts[hit], sizes[hit], number[hit]
         if len(at):
             inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             equal = codes[inner + np.repeat(starts, sizes)] == self.raw[inner + np.repeat(self.raw_start[at], sizes)]
             hit[hit] = np.logical_and.reduceat(equal, np.cumsum(sizes) - sizes)
-        return np.where(hit, slot, -1)
+        return np.where(hit, number, -1)
 
     def _learn(self, keys: np.ndarray, new: list[bytes]) -> None:
+        """Encode fragments with keys that none has yet."""
         ids = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)]
         sizes, counts = np.array([len(x) for x in new]), np.array([len(x) for x in ids])
-        starts, id_starts = len(self.raw) + np.cumsum(sizes) - sizes, len(self.ids) + np.cumsum(counts) - counts
+        before, starts, id_starts = len(self.keys), len(self.raw) + np.cumsum(sizes) - sizes, len(self.ids) + np.cumsum(counts) - counts
+        for name, more in (("keys", keys), ("raw_start", starts), ("raw_size", sizes), ("id_start", id_starts), ("id_size", counts)):
+            held = getattr(self, name)
+            setattr(self, name, np.concatenate([held, more.astype(held.dtype)]))
         self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(new), np.uint8)])
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.uint32, counts.sum())])
-        place = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, place, keys)
-        self.raw_start, self.raw_size = np.insert(self.raw_start, place, starts), np.insert(self.raw_size, place, sizes)
-        self.id_start, self.id_size = np.insert(self.id_start, place, id_starts), np.insert(self.id_size, place, counts)
+        if 2 * len(self.keys) > len(self.table):
+            bits = int(4 * len(self.keys)).bit_length()
+            self.table, self.shift, before = np.full(1 << bits, -1, np.int32), np.uint64(64 - bits), 0
+        self._enter(np.arange(before, len(self.keys), dtype=np.int32))
 
     def _encode_block(self, raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a block cut into fragments that stop at `ends`, and the number of ids of each fragment."""
-        if self.raw.nbytes + self.ids.nbytes + 40 * len(self.keys) > self.keep:
+        if self.raw.nbytes + self.ids.nbytes + 20 * len(self.keys) + self.table.nbytes > self.keep:
             self._forget()
         codes, starts = np.frombuffer(raw, np.uint8), np.concatenate([[0], ends[:-1]])
         sizes = ends - starts
@@ -122,16 +151,22 @@ class FragmentCodec:
         unseen = np.flatnonzero((slot < 0) & (sizes <= self.LONG))
         if len(unseen):
             new, first = np.unique(keys[unseen], return_index=True)
-            taken = self.keys[np.minimum(np.searchsorted(self.keys, new), len(self.keys) - 1)] == new
-            self._learn(new[~taken], [raw[starts[i]:ends[i]] for i in unseen[first[~taken]].tolist()])
-            slot = np.where(slot >= 0, np.searchsorted(self.keys, keys), slot)  # places moved
+            untaken = self._find(new) < 0
+            if untaken.any():
+                self._learn(new[untaken], [raw[starts[i]:ends[i]] for i in unseen[first[untaken]].tolist()])
             slot[unseen] = self._known(codes, keys[unseen], starts[unseen], sizes[unseen])
         direct = np.flatnonzero(slot < 0).tolist()
         own = [e.ids for e in self.tokenizer.encode_batch_fast([raw[starts[i]:ends[i]].decode() for i in direct], add_special_tokens=False)]
-        counts = np.where(slot < 0, 0, self.id_size[slot])
+        hit = slot >= 0
+        counts = np.zeros(len(slot), np.int64)
+        counts[hit] = self.id_size[slot[hit]]
+        shift = np.repeat(self.id_start[slot[hit]] - (np.cumsum(counts[hit]) - counts[hit]), counts[hit])
+        known = self.ids[np.arange(len(shift)) + shift]
+        if not direct:
+            return known, counts
         counts[direct] = [len(x) for x in own]
-        begin = np.cumsum(counts) - counts
-        ids = self.ids[np.arange(counts.sum()) * (np.repeat(slot, counts) >= 0) + np.repeat(np.where(slot < 0, 0, self.id_start[slot] - begin), counts)]
+        begin, ids = np.cumsum(counts) - counts, np.empty(counts.sum(), np.uint32)
+        ids[np.repeat(hit, counts)] = known
         for i, x in zip(direct, own, strict=True):
             ids[begin[i]:begin[i] + len(x)] = x
         return ids, counts
