@@ -287,7 +287,8 @@ def search(anchors: DataFrame, points: DataFrame, index: MultiIndex, same: bool,
         windows = at.select("own", "next", F.explode("windows").alias("x")).select("own", "next", "x.*").join(closed, ["own", "w"], "left")
         full = F.coalesce(F.col("n") >= k, F.lit(False))
         open_ = windows.where((~full | (F.col("least") <= F.col("next"))) & (F.col("next") >= F.col("low")))
-        kept = F.collect_list(F.struct("w", "low", "high")).alias("windows")
+        least = F.when(full, F.greatest("low", "least")).otherwise(F.col("low")).alias("low")  # what is worse is of no use
+        kept = F.collect_list(F.struct("w", least, "high")).alias("windows")
         live = at.drop("windows", "cells", "next").join(open_.groupBy("own").agg(F.array_sort(kept).alias("windows")), "own").select(*anchors.columns)
         live = materialize(live, "live")
         if live.isEmpty():
