@@ -14,6 +14,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -224,12 +225,18 @@ class FragmentCodec:
             yield ids.astype("<u4").tobytes(), self.decode(ids)
 
 
+@lru_cache(maxsize=1)
+def shared_codec(path: str) -> FragmentCodec:
+    """The codec of a Python worker; tasks that follow each other in a worker go on with the fragments it knows."""
+    return FragmentCodec(path)
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text", into: str = "ids") -> DataFrame:
     """`docs` with the ids of each whole text as an array; null text gives no ids.  A column called `into` is replaced."""
 
     @pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = FragmentCodec(path)
+        codec = shared_codec(path)
         for texts in batches:
             yield pd.Series([ids.astype(np.int32) for ids in codec.encode_all(texts.tolist())], dtype=object)
 
@@ -241,7 +248,7 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", into: str = "decode
 
     @pandas_udf("string")
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = FragmentCodec(path)
+        codec = shared_codec(path)
         for arrays in batches:
             yield pd.Series([codec.decode(a) for a in arrays], dtype=object)
 
@@ -256,7 +263,7 @@ def encode_checked(docs: DataFrame, path: str, text_col: str = "text") -> DataFr
 
     @pandas_udf("ids array<int>, round_trip boolean")
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = FragmentCodec(path)
+        codec = shared_codec(path)
         for texts in batches:
             rows = list(zip(codec.round_trips(texts.tolist()), texts, strict=True))
             yield pd.DataFrame({"ids": [np.frombuffer(ids, "<i4") for (ids, _), _ in rows], "round_trip": [back == t for (_, back), t in rows]})
@@ -276,7 +283,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     @pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = FragmentCodec(path)
+        codec = shared_codec(path)
         for texts in batches:
             rows = []
             for ids, back in codec.round_trips(texts.tolist()):

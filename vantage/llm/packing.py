@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from vantage.llm.bpe import FragmentCodec
+from vantage.llm.bpe import shared_codec
 from vantage.session import local_table, materialize
 
 WINDOW = 2048
@@ -142,7 +142,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = 1, id
 
     @pandas_udf("tokens long, parts array<binary>")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = FragmentCodec(path)
+        codec = shared_codec(path)
         for texts in batches:
             rows = []
             for ids in codec.encode_all(texts.tolist()):
@@ -157,9 +157,8 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = 1, id
 
 
 def _width(path: str) -> int:
-    from tokenizers import Tokenizer
-
-    return 2 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else 4
+    """Bytes that hold any id of the vocabulary."""
+    return 2 if len(shared_codec(path).token_size) <= 1 << 16 else 4
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
