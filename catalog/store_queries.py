@@ -9,6 +9,8 @@ from catalog.bindings import documents, observations, with_docs, with_postings
 from vantage.operators import store as ST
 from vantage.operators.search import object_counts
 from vantage.operators.shape import doc_id
+from vantage.plans.ingest import append_documents, compact, current_documents
+from vantage.session import shared_dir
 from vantage.sources import sinks
 
 HALF = 1705276800  # 2024-01-15
@@ -61,6 +63,75 @@ def i2(spark, sf_dir):
     return merged.select("uid", "first_seen", "last_seen", values.alias("vals"))
 
 
+@query(
+    "I2_repeated_uids",
+    with_docs(
+        f"""{_KEYED_SQL}
+        SELECT coalesce(n.uid, o.uid) AS uid, least(o.f, n.f) AS first_seen, greatest(o.l, n.l) AS last_seen,
+               CASE WHEN n.uid IS NOT NULL THEN n.v ELSE o.v END AS vals
+        FROM (SELECT * FROM latest WHERE NOT side) o FULL JOIN (SELECT * FROM latest WHERE side) n ON n.uid = o.uid"""
+    ),
+)
+def i2_repeated(spark, sf_dir):
+    """Both sides as they come, with every observation of a uid."""
+    keyed = _keyed(spark, sf_dir)
+    merged = ST.upsert_docs(keyed.filter(F.col("first_seen") < HALF), keyed.filter(F.col("first_seen") >= HALF))
+    values = F.concat(F.array_join("http_title", "|"), F.lit("#"), F.array_join("tag", "|"))
+    return merged.select("uid", "first_seen", "last_seen", values.alias("vals"))
+
+
+@query("I1_cleared_field", with_postings("SELECT field, value, uid FROM postings WHERE value <> '' AND field <> 'tag'"))
+def i1_cleared(spark, sf_dir):
+    """Postings written over older ones that still had tags."""
+    path = shared_dir(spark, "postings")
+    ST.write_postings(_postings(spark, sf_dir), path)
+    ST.write_postings(ST.build_postings(ST.clear_tags(documents(spark, sf_dir))), path)
+    return spark.read.parquet(path).select(F.col("field").cast("string").alias("field"), F.col("value").cast("string").alias("value"), "uid")
+
+
+_REINDEXED_SQL = """, again AS (SELECT uid, ip_num, event_id % 3 = 0 AS late, first_seen, last_seen, http_title[1] AS title, array_to_string(tag, '|') AS tag
+      FROM docs JOIN (SELECT uid AS u, event_id FROM obs) ON u = uid)
+    SELECT uid, first_seen - CASE WHEN late THEN 90000 ELSE 0 END AS first_seen, last_seen,
+      CASE WHEN late THEN 're ' ELSE '' END || title AS title, CASE WHEN late THEN '' ELSE tag END AS tag FROM again"""
+
+
+def _reindexed(spark, sf_dir, compacted):
+    """All documents, then a third of them again: older times, another title, no tags; the newer batch counts."""
+    docs = documents(spark, sf_dir)
+    late = docs.filter(F.col("uid").cast("long") % 3 == 0)
+    back = late.withColumns({
+        "first_seen": F.col("first_seen") - 90000, "last_seen": F.col("last_seen") - 90000,
+        "http_title": F.transform("http_title", lambda t: F.concat(F.lit("re "), t)), "tag": F.expr("CAST(array() AS ARRAY<STRING>)"),
+    })
+    store = shared_dir(spark, "store")
+    append_documents(docs, store, 0)
+    if compacted:
+        compact(spark, store, files=16)
+    append_documents(back, store, 0 if compacted else 1)
+    return store
+
+
+def _shown(docs):
+    return docs.select("uid", "first_seen", "last_seen", F.element_at("http_title", 1).alias("title"), F.array_join("tag", "|").alias("tag"))
+
+
+@query("M1_reindex_older_time", with_docs(_REINDEXED_SQL))
+def m1_reindex(spark, sf_dir):
+    return _shown(current_documents(spark, _reindexed(spark, sf_dir, False)))
+
+
+@query("M1_base_and_batches", with_docs(_REINDEXED_SQL))
+def m1_base(spark, sf_dir):
+    """The same through a compacted base with a later batch over it."""
+    return _shown(current_documents(spark, _reindexed(spark, sf_dir, True)))
+
+
+@query("M1_address_search", with_docs(f"{_REINDEXED_SQL} WHERE ip_num BETWEEN 134742016 + 2560 AND 134742016 + 4095"))
+def m1_addresses(spark, sf_dir):
+    """Documents of 8.8.10.0 to 8.8.15.255, from the base files that reach into that range and the later batch."""
+    return _shown(current_documents(spark, _reindexed(spark, sf_dir, True), ("08080a00", "08080fff")))
+
+
 @query(
     "I3_seen_merge",
     with_docs(f"{_KEYED_SQL} SELECT uid, min(first_seen) AS first_seen, max(last_seen) AS last_seen FROM keyed GROUP BY uid"),

@@ -93,16 +93,21 @@ def merge_seen(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def latest_per_uid(docs: DataFrame) -> DataFrame:
-    """Collapse repeated uids: values of the newest row, merged interval."""
+def latest_per_uid(docs: DataFrame, first_by: list[str] | None = None) -> DataFrame:
+    """Collapse repeated uids: values of the newest row, merged interval.
+
+    `first_by` columns decide which row is newest before the times do; rows alike in all of these by their values, so the
+    result does not depend on the order of rows.
+    """
     rest = [c for c in docs.columns if c not in ("uid", "first_seen", "last_seen")]
-    newest = F.max_by(F.struct(*rest), F.struct("last_seen", "first_seen"))
+    newest = F.max_by(F.struct(*rest), F.struct(*(first_by or []), "last_seen", "first_seen", F.xxhash64(*rest)))
+    first, last = seen_range(F.col("first_seen"), F.col("last_seen"))
     return (
         docs.groupBy("uid")
         .agg(
             newest.alias("_d"),
-            F.min("first_seen").alias("first_seen"),
-            F.max("last_seen").alias("last_seen"),
+            F.min(first).alias("first_seen"),
+            F.max(last).alias("last_seen"),
         )
         .select("uid", "first_seen", "last_seen", *[F.col(f"_d.{c}").alias(c) for c in rest])
         .select(*docs.columns)
@@ -112,27 +117,11 @@ def latest_per_uid(docs: DataFrame) -> DataFrame:
 def upsert_docs(old: DataFrame, new: DataFrame) -> DataFrame:
     """Insert or replace documents by uid.
 
-    A known uid takes all field values of the new row and keeps the merged seen
-    interval.  Both sides must have unique uids (see `latest_per_uid`).
+    A known uid takes all field values of the new side and keeps the merged seen interval, whatever the times say; a uid
+    repeated on a side counts with its newest row.
     """
-    o = old.alias("o")
-    n = new.withColumn("_new", F.lit(True)).alias("n")
-    joined = o.join(n, F.col("o.uid") == F.col("n.uid"), "full_outer")
-    first, last = seen_range(
-        F.least(F.col("o.first_seen"), F.col("n.first_seen")),
-        F.greatest(F.col("o.last_seen"), F.col("n.last_seen")),
-    )
-    columns = []
-    for c in old.columns:
-        if c == "uid":
-            columns.append(F.coalesce("n.uid", "o.uid").alias("uid"))
-        elif c == "first_seen":
-            columns.append(first.alias(c))
-        elif c == "last_seen":
-            columns.append(last.alias(c))
-        else:
-            columns.append(F.when(F.col("_new"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c))
-    return joined.select(*columns)
+    both = old.withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1)).select(*old.columns, "_side"))
+    return latest_per_uid(both, ["_side"]).select(*old.columns)
 
 
 def rebuild(docs: DataFrame, snapshot: DataFrame, retag: bool = True) -> DataFrame:
@@ -230,10 +219,10 @@ def list_tags(docs: DataFrame) -> DataFrame:
 
 
 def upsert_latest(old: DataFrame, new: DataFrame, key: str, stamp: str) -> DataFrame:
-    """Insert or update by key, the record with the newest stamp wins."""
+    """Insert or update by key, the record with the newest stamp wins; equal stamps are decided by the values."""
     rest = [c for c in old.columns if c != key]
     return (
         old.unionByName(new).groupBy(key)
-        .agg(F.max_by(F.struct(*rest), F.col(stamp)).alias("_r"))
+        .agg(F.max_by(F.struct(*rest), F.struct(F.col(stamp).alias("at"), F.xxhash64(*rest))).alias("_r"))
         .select(key, "_r.*").select(*old.columns)
     )

@@ -16,7 +16,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # a table written over another leaves no partition of the old one behind
+    "spark.sql.sources.partitionOverwriteMode": "static",
 }
 
 # Start-up settings worth giving to the session builder.
