@@ -1,7 +1,10 @@
 from __future__ import annotations
 
 import random
+import re
+import string
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -131,3 +134,37 @@ def test_equal_texts_without_words_are_one_group(make):
     got = {r["doc_id"]: r["class_id"] for r in neardup.groups(make(rows)).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 3, 8: 8, 9: 9}
     assert {r["doc_id"] for r in neardup.keep_first(make(rows)).collect()} == {1, 3, 4, 5, 6, 8, 9}
+
+
+def test_texts_that_share_an_id_keep_their_own_links(make):
+    t, u = (" ".join(f"{w}{i}" for i in range(40)) for w in "tu")
+    rows = [(1, t), (1, u), (2, t + " x"), (3, u + " y"), (4, "quite another text that stands alone here"), (4, t + " z"), (None, u)]
+    got = Counter(tuple(r) for r in neardup.groups(make(rows)).select("doc_id", "class_id").collect())
+    assert got == Counter([(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 1), (None, 1)])
+    kept = sorted((r["doc_id"], r["text"]) for r in neardup.keep_first(make(rows)).collect() if r["doc_id"] is not None)
+    assert kept == sorted([(1, t), (1, u), (4, rows[4][1])])
+    near = [(7, t), (7, t + " x"), (8, t)]  # one id, two texts of one group
+    assert len(neardup.keep_first(make(near)).collect()) == 1
+
+
+def test_recall_of_every_fiftieth_document(spark):
+    """Queries of an id divisible by 50 against all rows, by weighted likeness of shingles of five words."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    kinds, texts = {r["doc_id"]: r["class_id"] for r in neardup.groups(docs).collect()}, docs.collect()
+    bags = {}
+    for r in texts:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (r["text"] or "").translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)))
+        bags[r["doc_id"]] = Counter(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()
+    asked = {i: b for i, b in bags.items() if i % 50 == 0 and b}
+    holders = {}
+    for i, b in asked.items():
+        for g in b:
+            holders.setdefault(g, []).append(i)
+    shared = Counter()
+    for j, b in bags.items():
+        for g, n in b.items():
+            for i in holders.get(g, ()):
+                shared[i, j] += min(n, asked[i][g])
+    links = {(i, j) for (i, j), n in shared.items() if i != j and n >= 0.8 * (asked[i].total() + bags[j].total() - n)}
+    found = {(i, j) for i, j in links if kinds[i] == kinds[j]}
+    assert len(links) > 50 and len(found) >= 0.99 * len(links)

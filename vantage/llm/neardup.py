@@ -295,35 +295,42 @@ def links(members: DataFrame, sets: DataFrame, threshold: float, small: int = 16
 def groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, bands: int = 40, rows: int = 6,
 ) -> DataFrame:
-    """Rows (doc_id, text_key, class_id), one per input row: `class_id` is the least id of the group.
+    """Rows (doc_id, text_key, class_id, class_key), one per input row: `class_id` is the least id of the group, `class_key`
+    the text key of the row that stands for it (of that id; the least key if the id repeats).
 
     A link of likeness 0.8 shares no band with probability 6e-6 at 40 bands of 6 rows, a likelier one less.  Null and
-    empty texts are linked with nothing: their class is their own id; texts without words only with equal texts.  Rows of one id count as one document of the links.  Repeated rows and equal texts are one
-    group; null ids stay, with a null class unless their text has a group; an empty table gives no rows; other columns
-    are ignored.
+    empty texts are linked with nothing: their class is their own id; texts without words only with equal texts.  Links
+    are between texts, so rows that share an id but not a text may be in different groups.  Repeated rows and equal
+    texts are one group; null ids stay, with a null class unless their text has a group; an empty table gives no rows;
+    other columns are ignored.
     """
     signed = materialize(signatures(docs, id_col, text_col, size, bands, rows), "signed")
-    firsts = materialize(
+    firsts = (
         signed.where("words_key is not null and doc_id is not null").groupBy("words_key")
         .agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("n").alias("n"), F.first("buckets").alias("buckets"))
-        .select("words_key", F.col("first.doc_id").alias("id"), F.col("first.text_key").alias("text_key"), "n", "buckets"), "firsts")
+    )
+    # a number for each text, settled when the table is written
+    firsts = materialize(firsts.select("words_key", "first.doc_id", "first.text_key", "n", "buckets", F.monotonically_increasing_id().alias("id")), "firsts")
     all_members = firsts.where("n > 0").select(F.explode("buckets").alias("bucket"), "id", "n")
     full = all_members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialize(all_members.join(full, "bucket"), "members")
-    due = members.select("id").distinct().join(firsts.select("id", "text_key"), "id")
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    own = text.join(due, "id").where(F.sha2("text", 256) == F.col("text_key")).select("id", "text")
+    due = members.select("id").distinct().join(firsts.select("id", "doc_id", "text_key"), "id")
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own = text.join(due, "doc_id").where(F.sha2("text", 256) == F.col("text_key")).select("id", "text")
     sets = materialize(unit_sets(own, size).dropDuplicates(["id"]), "sets")
     roots = connected(links(members, sets, threshold).select("u", "v"))
-    classes = firsts.select("words_key", "id").join(roots, "id", "left").select("words_key", F.coalesce("root", "id").alias("class_id"))
-    return signed.select("doc_id", "text_key", "words_key").join(classes, "words_key", "left").select(
-        "doc_id", "text_key", F.coalesce("class_id", "doc_id").alias("class_id"))
+    rooted = firsts.select("words_key", "id", F.struct("doc_id", "text_key").alias("first")).join(roots, "id", "left")
+    rooted = materialize(rooted.select("words_key", F.coalesce("root", "id").alias("root"), "first"), "rooted")
+    heads = rooted.groupBy("root").agg(F.min("first").alias("head"))
+    classes = rooted.join(heads, "root").select("words_key", "head")
+    found = signed.select("doc_id", "text_key", "words_key").join(classes, "words_key", "left")
+    return found.select("doc_id", "text_key", F.coalesce("head.doc_id", "doc_id").alias("class_id"), F.coalesce("head.text_key", "text_key").alias("class_key"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One whole row of each group, that of the least id, all columns; rows without text or id all stay."""
+    """One whole row of each group, that which stands for it, all columns; rows without text or id all stay."""
     found = groups(docs, id_col, text_col, **options)
-    gone = found.where("class_id <> doc_id").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    gone = found.where("doc_id is not null and (class_id <> doc_id or class_key <> text_key)").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
     left = docs.join(gone, F.col(id_col).eqNullSafe(F.col("gone_id")) & F.sha2(text_col, 256).eqNullSafe(F.col("gone_key")), "left_anti")
     key = "row_key"
     while key in docs.columns:
