@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import time
 from collections import Counter
 
 import duckdb
@@ -62,7 +63,7 @@ def test_windows_of_empty_tables(spark, make, odd_rows):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_reference_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want = con.execute(queries.ORACLES[name])
     columns = [c[0] for c in want.description]
@@ -119,3 +120,28 @@ def test_native_plans(make, odd_rows):
     for df in (secret_scan.report(secret_scan.scan(make(odd_rows))),):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", plan)
+
+
+@pytest.mark.parametrize("unit", ["eyJ", ".eyJ", "eyJ-", "eyJa.", "token ", "secret:", "AKIA", "abc1", "-----BEGIN ", "ghp_", "password=\"", "api_key   "])
+def test_long_runs_take_time_in_proportion(spark, unit):
+    """A megabyte of one unit, which no rule may scan again from every place."""
+    text = f". {unit}" + unit * (1_000_000 // len(unit)) + " "
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    secret_scan.report(secret_scan.scan(df)).collect()
+    assert time.time() - began < 60
+
+
+def test_web_tokens_begin_where_a_run_begins(spark):
+    token = "eyJhbGciOiJIUzI1NiIs.eyJzdWIiOiIxMjM0NTY3.SflKxwRJSMeKKF2QT4fwpM"
+    texts = [token, f"x {token} y", f"a={token}", f"a{token}", f"-{token}", f"é{token}", f"eyJ.{token}", f"{token}.{token}", f"{token} {token}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [s for s in r["spans"].split(",") if s.startswith("web")] for r in secret_scan.report(secret_scan.scan(df)).collect()}
+    pattern = re.compile(next(r.pattern for r in secret_scan.RULES if r.kind == "web_token"))
+    assert got == {i: [f"web_token:{m.start()}:{m.end()}" for m in pattern.finditer(t)] for i, t in enumerate(texts)}
+    assert got[0] and got[2] and got[5] and not got[3] and not got[4]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    want = dict(con.execute(f"SELECT doc_id, spans FROM ({queries.OP7_SQL})").fetchall())
+    assert {r["doc_id"]: r["spans"] for r in secret_scan.report(secret_scan.scan(df)).collect()} == want

@@ -123,14 +123,22 @@ FROM d LEFT JOIN covered ON d.doc_id = covered.doc_id LEFT JOIN items ON d.doc_i
 """
 
 
+#: What must stand before a match, for a dialect that cannot look back: a text's start or one character, which is no part of the match.
+LOOK_BACK = {r"(?<![A-Za-z0-9_-])": r"(?:^|[^A-Za-z0-9_-])"}
+
+
 def _spans_sql() -> str:
     """Each rule's matches and the gaps between them, as in the operator; positions are running sums."""
     each = []
     for n, rule in enumerate(secret_scan.RULES):
         pattern = rule.pattern.replace("'", "''")
+        lead = "0"
+        for ours, theirs in LOOK_BACK.items():
+            if ours in pattern:
+                pattern, lead = pattern.replace(ours, theirs), "1"
         each.append(
             f"SELECT r, {n} AS ord, '{rule.kind}' AS kind, regexp_extract_all(text, '{pattern}', 0) AS m, "
-            f"regexp_extract_all(text, '{pattern}', {rule.group}) AS g, string_split_regex(text, '{pattern}') AS gaps, {rule.least} AS least FROM d"
+            f"regexp_extract_all(text, '{pattern}', {rule.group}) AS g, string_split_regex(text, '{pattern}') AS gaps, {rule.least} AS least, {lead} AS lead FROM d"
         )
     return " UNION ALL ".join(each)
 
@@ -139,8 +147,9 @@ OP7_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 found AS ({_spans_sql()}),
 placed AS (
-  SELECT r, ord, kind, length(g[i]) >= least AS kept, length(m[i]) AS size,
-    list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start
+  SELECT r, ord, kind, length(g[i]) >= least AS kept, length(m[i]) - lead * (length(m[i]) - length(g[i])) AS size,
+    list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)
+      + lead * (length(m[i]) - length(g[i])) AS start
   FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found)
 ),
 listed AS (

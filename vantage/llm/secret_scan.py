@@ -40,11 +40,14 @@ BASE = (
 )
 MORE = (
     Rule("private_key", r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)", 1, 1),
-    Rule("web_token", r"(eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)", 1, 30),
+    Rule("web_token", r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)", 1, 30),
     Rule("forge_token", r"(gh[pousr]_[A-Za-z0-9]+)", 1, 40),
 )
 RULES = BASE + MORE
 
+#: Matches of a text that are added up at a time.
+CHUNK = 1024
+
 
 def _grams(strings: set[str]) -> set[frozenset[str]]:
     """The query of "one of these strings": an OR of the ANDs of their trigrams."""
@@ -143,7 +146,26 @@ def spans(text: Column, rule: Rule) -> Column:
         found = F.array(F.struct(start.alias("start"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(part["kept"], F.concat(state["found"], found)).otherwise(state["found"]).alias("found"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda s: s["found"])
+    def placed(parts: Column, at: Column) -> Column:
+        return F.aggregate(parts, F.struct(at.alias("at"), none.alias("found")), step, lambda s: s["found"])
+
+    def by_chunks(parts: Column) -> Column:
+        """Lists grow by copying, so a text of very many matches is added up a chunk at a time."""
+        last = F.floor((F.size(parts) - 1) / CHUNK).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(parts, c * CHUNK + 1, F.lit(CHUNK)))
+        return bound(chunks, lambda cs: F.flatten(F.zip_with(cs, starts(cs), placed)))
+
+    def starts(chunks: Column) -> Column:
+        sizes = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda n, p: n + p["gap"] + p["size"]))
+        first = F.array(F.lit(0))
+        return F.aggregate(sizes, first, lambda held, n: F.concat(held, F.array(F.element_at(held, -1) + n)), lambda held: F.slice(held, 1, F.size(held) - 1))
+
+    return bound(parts, lambda p: F.when(F.size(p) <= CHUNK, placed(p, F.lit(0))).otherwise(by_chunks(p)))
+
+
+def bound(value: Column, body) -> Column:
+    """`body` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _numbered(n: int):
@@ -157,7 +179,9 @@ def _of(n: int):
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Rows (doc_id, text, input, found): the input row as a struct; `found` has (start, ord, end) of all spans by start, then rule order.
 
-    Null text has no spans and stays null; null ids and repeated rows stay, one row for each; other columns are ignored.
+    Null text has no spans and stays null; null ids and repeated rows stay, one row for each; other columns are ignored; an
+    empty table gives no rows.  Every rule leaves a place after one look at the run that begins there, so the time of a text
+    grows with its length, however long its runs are.
     """
     queries = {rule.kind: trigram_query(rule.pattern) for rule in rules}
     grams = sorted({g for q in queries.values() for c in q for g in c})
