@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import textwrap
 import zlib
 from collections import Counter, defaultdict
@@ -209,3 +210,57 @@ def test_every_language_is_drawn_and_repeated_rows_count_once(make, monkeypatch)
     assert learned[0]["fr"] == learned[1]["fr"] == free and learned[1]["en"] == sum(crc_fold(i, 4) != 2 for i in range(400))
     ids = make(rows).selectExpr("doc_id id")
     assert len(quality._sampled(make(rows), ids, 1000, "doc_id", "text")) == 408
+
+
+def test_compression_decides_who_claims(monkeypatch):
+    """Of two templates whose wording a place holds, that which saves more bytes has it; without a ranking the name decides."""
+    templates = {"a": "Permission is granted to use", "b": "Permission is granted to use this software for any purpose whatever"}
+    text = f"Copyright. {templates['b']}."
+    assert [m[0] for m in licenses.Matcher(templates).scan(text)[1]] == ["b"]
+    block = licenses.Matcher(templates)
+    assert block.ranking(templates["b"]) == ["b", "a"] and block.saved("b", templates["b"])[0] > block.saved("a", templates["b"])[0] > 0
+    monkeypatch.setattr(licenses.Matcher, "saved", lambda self, name, block: (1, 10))
+    assert [m[0] for m in licenses.Matcher(templates).scan(text)[1]] == ["a"]
+
+
+def test_claims_follow_the_ranking_brute_force():
+    """Random blocks against a loop: every template in order of bytes saved takes its shortest runs that are free."""
+    import zstandard
+
+    rng = random.Random(3)
+    templates = {"x": "grant license of one two", "y": "grant license of one two three four", "z": "two three four license"}
+
+    def size(text, name=None):
+        data = zstandard.ZstdCompressionDict(templates[name].encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) if name else None
+        return len(zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=data).compress(text.encode()))
+
+    def claims(words):
+        text = " ".join(words)
+        order = sorted(templates, key=lambda n: (size(text, n) - size(text), n))
+        taken, out = set(), []
+        for name in order:
+            t = templates[name].split()
+            spans = []
+            for a in range(len(words)):
+                for b in range(a, len(words)):
+                    rest = iter(words[a:b + 1])
+                    if all(w in rest for w in t):
+                        spans.append((a, b))
+                        break
+            spans = [s for s in spans if not any(o != s and s[0] <= o[0] and o[1] <= s[1] for o in spans)]
+            for a, b in sorted(spans, key=lambda s: (s[1] - s[0], s)):
+                if not taken & set(range(a, b + 1)):
+                    taken |= set(range(a, b + 1))
+                    out.append((a, b, name))
+        return sorted(out)
+
+    matcher = licenses.Matcher(templates)
+    for _ in range(200):
+        words = [rng.choice(["grant", "license", "of", "one", "two", "three", "four", "pad"]) for _ in range(rng.randint(3, 14))]
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randrange(len(words))
+            words[at:at] = templates[rng.choice("xyz")].split()
+        text = " ".join(words)
+        places = [m.span() for m in licenses.WORD.finditer(text)]
+        got = [(a, b, name) for a, b, name, *_ in matcher.confirmed(text, places, words, [1] * len(words), 0, len(words))]
+        assert got == claims(words), text

@@ -1,13 +1,13 @@
 """License scan by conditional compression.
 
 Candidate blocks are the words around licensing cues, as far on both sides as the longest template with as many foreign
-words can reach, and the cues' sentences; blocks that meet are one.  A template is looked for in a block if the block has
-its words in any order; its places are then found exactly, as the shortest runs of words that hold the template's words in
-order (none missing for a short notice, one in fifty for a long one).  Foreign words may stand between them inside one
-sentence or line; in a longer run there are none for a short notice and no more than its own words for a long one.
-The longest template has the first choice of places, then fewer differences in wording, then the share of bytes that the
-template saves as a zstandard raw dictionary for the place.  What is left of the block before, between and after the chosen
-places is searched again until nothing more is found.
+words can reach, and the cues' sentences; blocks that meet are one.  Each block is compressed alone and with every
+template as a zstandard raw dictionary; the bytes that a template saves rank the templates, and in that order they claim
+places in the block.  A claim holds only where the wording confirms it: the shortest runs of words that hold the template's
+words in order (none missing for a short notice, one in fifty for a long one), fewest differences first.  Foreign words may
+stand between them inside one sentence or line; in a longer run there are none for a short notice and no more than its own
+words for a long one.  The whole ranking is gone through.  What is left of the block before, between and after the claimed
+places is a block of its own, compressed and ranked again, until nothing more is confirmed.
 """
 
 from __future__ import annotations
@@ -100,37 +100,46 @@ class Matcher:
         frame = {"level": 3, "write_content_size": False}
         self.plain = zstandard.ZstdCompressor(**frame)
         self.given = {n: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(templates[n].lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **frame) for n in self.names}
-        self.seen: dict[tuple[str, str], float] = {}
-
-    def saved(self, name: str, place: str) -> float:
-        """Share of a place's compressed size that the template saves."""
-        if (name, place) not in self.seen:
-            if len(self.seen) > 20_000:
-                self.seen.clear()
-            raw = place.lower().encode()
-            self.seen[name, place] = 1 - len(self.given[name].compress(raw)) / len(self.plain.compress(raw))
-        return self.seen[name, place]
+        self.ranked: dict[str, list[str]] = {}
+
+    def saved(self, name: str, block: str) -> tuple[int, int]:
+        """Bytes that the template saves of a block's compressed size, and that size."""
+        raw = block.lower().encode()
+        alone = len(self.plain.compress(raw))
+        return alone - len(self.given[name].compress(raw)), alone
+
+    def ranking(self, block: str) -> list[str]:
+        """All templates, that which saves most bytes of the block first."""
+        if block in self.ranked:
+            return self.ranked[block]
+        order = sorted(self.names, key=lambda n: (-self.saved(n, block)[0], n))
+        if len(block) < 4096:  # copies of a notice are many, so short blocks are remembered: some 50 MB at most
+            if len(self.ranked) >= 10_000:
+                self.ranked.clear()
+            self.ranked[block] = order
+        return order
 
     def confirmed(self, text: str, places: list[tuple[int, int]], own: list[str], line: list[int], first: int, last: int) -> list[tuple]:
         """Runs of the words from `first` to before `last` with a template's wording that do not meet: (first word, last word, template, share saved, words missing, words added)."""
-        held, found = Counter(own[first:last]), []
-        for name in self.names:
+        held = Counter(own[first:last])
+        if not any(t.within(held) for t in self.templates.values()):
+            return []
+        out: list[tuple] = []
+        free = bytearray(b"\1") * (last - first)
+        for name in self.ranking(text[places[first][0]:places[last - 1][1]]):
             template = self.templates[name]
             if not template.within(held):
                 continue
-            size = len(template.words)
+            size, found = len(template.words), []
             for a, b, missing in template.runs(own, first, last):
                 added = b - a + 1 - (size - missing)
                 if line[a] == line[b] or added <= (0 if size <= SHORT else size):
-                    saved = self.saved(name, text[places[a][0]:places[b][1]])
-                    found.append(((-size, missing + added, -saved, name, a), (a, b, name, saved, missing, added)))
-        out: list[tuple] = []
-        free = bytearray(b"\1") * (last - first)
-        for _, run in sorted(found):
-            a, b = run[0] - first, run[1] - first + 1
-            if all(free[a:b]):
-                free[a:b] = bytes(b - a)
-                out.append(run)
+                    found.append((missing + added, a, b, missing, added))
+            for _, a, b, missing, added in sorted(found):
+                if all(free[a - first:b + 1 - first]):
+                    free[a - first:b + 1 - first] = bytes(b + 1 - a)
+                    fewer, alone = self.saved(name, text[places[a][0]:places[b][1]])
+                    out.append((a, b, name, fewer / alone, missing, added))
         return sorted(out)
 
     def blocks(self, text: str, places: list[tuple[int, int]], line: list[int]) -> list[tuple[int, int]]:
@@ -174,7 +183,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_col: str
 
     `matches` are confirmed blocks with their extent in code points, `licenses` their distinct names, comma-joined.
     Null and empty texts have none; null ids and repeated rows stay; other columns are ignored; an empty table gives
-    no rows.
+    no rows.  A text of any length is read whole, one at a time; templates that save the same are tried by name.
     """
 
     @pandas_udf(f"n_blocks int, matches {MATCH}")
