@@ -18,7 +18,7 @@ from vantage.schema import CHUNK_ADDRESSES
 # Texts of the AS lookup and the default description.
 NOT_AN_ADDRESS = "Network info unavailable for non-IP targets"
 NO_ANSWER = "resolutions backend unreachable"
-DEFAULT_DESCRIPTION = "Registry range import"
+DEFAULT_DESCRIPTION = "WHOIS range import"
 
 
 def with_network(df: DataFrame, value: str = "value") -> DataFrame:
