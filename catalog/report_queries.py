@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from catalog.base import query, table
 from catalog.bindings import documents, observations, with_docs
 from vantage.operators import report as R
+from vantage.operators import report_runs as RR
 from vantage.operators import search as S
 
 NOW = dt.datetime(2001, 7, 15, 10, 30)
@@ -201,30 +202,97 @@ _LINES_SQL = f"""{_HITS}{_PTR_SQL}{_PDNS_SQL}{_ASSOC_SQL}{_NEW_SQL},
    UNION ALL SELECT 7, l FROM (SELECT DISTINCT ip, '  - Associated FQDNs (' || total || ')' AS l FROM ar)
    UNION ALL SELECT 7, '    - ' || name || CASE WHEN source = '' THEN '' ELSE ' (' || source || ')' END FROM ar WHERE place <= 25
    UNION ALL SELECT 7, l FROM (SELECT DISTINCT ip, '    - ' || (total - 25) || ' additional fqdn not listed here' AS l FROM ar WHERE total > 25)
-   UNION ALL SELECT 8, unnest(['', '## Disclaimer', '', '{R.DISCLAIMER}', ''])) GROUP BY ALL"""
+   UNION ALL SELECT 8, unnest(['', '## Disclaimer', '', '{RR.DISCLAIMER}', ''])) GROUP BY ALL"""
 
 
 @query("R14_report_lines", with_docs(_LINES_SQL))
 def r14(spark, sf_dir):
     """Lines are compared per section; their order is checked in the tests."""
     report = {"name": "Views", "description": "Seen views", "query": "tag:soft:view"}
-    lines = R.report_lines(report, _found(spark, sf_dir), _previous(spark, sf_dir), ("A", "B"), _ptr(spark, sf_dir), _pdns(spark, sf_dir))
+    cutoff = 1705795200  # six months before 2024-07-21
+    lines = RR.report_lines(
+        documents(spark, sf_dir), report, (_FROM, _TO), (_BEFORE, _FROM), ("A", "B"), _bodies(spark, sf_dir), _pdns(spark, sf_dir), cutoff
+    )
     return lines.groupBy("section", "line").agg(F.count("*").alias("n"))
 
 
-@query("R15_report_batch")
-def r15(spark, sf_dir):
-    """Due reports over the documents, one per event type."""
-    kinds = table(spark, sf_dir, "events").groupBy("event_type").agg(F.min("ts").alias("t"))
+# one report for each event type and remainder of the user: a title, two groups, an inner text, a header's value, an
+# unknown field; "once" reports have no period before, those of errors are not active
+_R15_SQL = """, r AS (SELECT DISTINCT event_type AS e, user_id % 20 AS n FROM events), k AS (SELECT *, e || '-' || n AS id FROM r WHERE e <> 'error'),
+ q AS (SELECT *, CASE WHEN n % 4 = 0 THEN 'http_title:"' || e || ' portal ' || n || '"'
+     WHEN n % 4 = 1 THEN 'tag:soft:' || e || ' tag:lang:l' || (n % 3) || ' OR http_server.bg:' || e || '/' || (n % 10) || ' port.nt:' || n
+     WHEN n % 4 = 2 THEN 'banner.lk:"' || e || ' ready ' || n || '"' WHEN n % 8 = 3 THEN 'http_headval:x-powered-by.lk:' || (n % 9)
+     ELSE 'colour:' || n END AS query,
+   CASE WHEN e = 'click' THEN TIMESTAMP '2024-01-20 00:00:00' ELSE TIMESTAMP '2023-12-31 00:00:00' END AS f, n % 5 <> 0 AS monthly FROM k),
+ b AS (SELECT *, CAST(epoch(f) AS BIGINT) AS s, CAST(epoch(f - INTERVAL 1 MONTH) AS BIGINT) AS ps FROM q)"""
+_R15_HITS_SQL = """, m AS (SELECT b.id, b.s, b.ps, b.monthly, d.* FROM b JOIN docs d ON (n % 4 = 0 AND list_contains(http_title, e || ' portal ' || n))
+     OR (n % 4 = 1 AND ((list_contains(tag, 'soft:' || e) AND list_contains(tag, 'lang:l' || (n % 3)))
+        OR (len(list_filter(http_server, lambda x: starts_with(x, e || '/' || (n % 10)))) > 0 AND NOT list_contains(port, CAST(n AS VARCHAR)))))
+     OR (n % 4 = 2 AND len(list_filter(banner, lambda x: contains(x, e || ' ready ' || n))) > 0)
+     OR (n % 8 = 3 AND len(list_filter(http_headval, lambda x: starts_with(x, 'x-powered-by:') AND contains(substr(x, 14), CAST(n % 9 AS VARCHAR)))) > 0)),
+ hits AS (SELECT * FROM m WHERE last_seen >= s AND first_seen <= 1706659200),
+ prev AS (SELECT * FROM m WHERE monthly AND last_seen >= ps AND first_seen <= s),
+ hp AS (SELECT DISTINCT id, ip, unnest(port) AS p FROM hits), np AS (SELECT id, ip, p FROM hp EXCEPT SELECT DISTINCT id, ip, unnest(port) FROM prev),
+ ptr AS (SELECT DISTINCT h.id, h.ip, 'ptr' || o.user_id || '.' || (o.event_id % 3) || '.example.net' AS name FROM hits h JOIN obs o ON o.uid = h.uid WHERE h.last_seen >= 1690761600 AND o.kn % 4 = 1),
+ al AS (SELECT id, ip, name, 0 AS rank FROM ptr UNION ALL SELECT DISTINCT id, ip, unnest(fqdn_requested), 1 FROM hits),
+ au AS (SELECT id, ip, name, min(rank) AS rank FROM al GROUP BY ALL),
+ ar AS (SELECT *, row_number() OVER (PARTITION BY id, ip ORDER BY rank, name) AS place, count(*) OVER (PARTITION BY id, ip) AS total FROM au),
+ fine AS (SELECT * FROM b WHERE n % 8 <> 7)"""
+_R15_LINES_SQL = """ SELECT report_id, section, line, count(*) AS n FROM (
+   SELECT id AS report_id, 0 AS section, unnest(['# Report ' || id, '', '## Summary', '', '- Query: `' || query || '`', '- Period: ' || strftime(f, '%Y-%m-%d %H:%M:%S UTC') || ' to 2024-01-31 00:00:00 UTC']) AS line FROM fine
+   UNION ALL SELECT id, 1, unnest(['- Matching IPs: ' || (SELECT count(DISTINCT ip) FROM hits h WHERE h.id = fine.id), '- Matching scans: ' || (SELECT count(*) FROM hits h WHERE h.id = fine.id)]) FROM fine
+   UNION ALL SELECT id, 2, unnest(['', '## Open Ports', '']) FROM fine
+   UNION ALL SELECT id, 3, '- ' || p || ': ' || count(*) || CASE WHEN count(*) = 1 THEN ' host' ELSE ' hosts' END FROM hp GROUP BY id, p
+   UNION ALL SELECT id, 3, '- No indexed open ports found.' FROM fine WHERE id NOT IN (SELECT id FROM hp)
+   UNION ALL SELECT id, 4, unnest(['', '## New opened port', '']) FROM fine WHERE monthly
+   UNION ALL SELECT id, 5, unnest(['- ' || ip, '  - New ports: ' || string_agg(p, ', ' ORDER BY CAST(p AS INT))]) FROM np WHERE id IN (SELECT id FROM fine WHERE monthly) GROUP BY id, ip
+   UNION ALL SELECT id, 5, '- No newly opened ports detected.' FROM fine WHERE monthly AND id NOT IN (SELECT id FROM np)
+   UNION ALL SELECT id, 6, unnest(['', '## Hosts', '']) FROM fine
+   UNION ALL SELECT id, 7, 'No matching hosts.' FROM fine WHERE id NOT IN (SELECT id FROM hits)
+   UNION ALL SELECT id, 7, unnest(['- ' || ip, '  - Scan results: ' || count(*)]) FROM hits GROUP BY id, ip
+   UNION ALL SELECT id, 7, '  - Open ports: ' || string_agg(p, ', ' ORDER BY CAST(p AS INT)) FROM hp GROUP BY id, ip
+   UNION ALL SELECT id, 7, '  - Open ports: none' FROM (SELECT DISTINCT id, ip FROM hits EXCEPT SELECT id, ip FROM hp)
+   UNION ALL SELECT id, 7, '  - Tag: ' || string_agg(t, ', ' ORDER BY t) FROM (SELECT DISTINCT id, ip, unnest(tag) AS t FROM hits) GROUP BY id, ip
+   UNION ALL SELECT id, 7, '  - Associated FQDNs (' || count(*) || ')' FROM ar GROUP BY id, ip
+   UNION ALL SELECT id, 7, '    - ' || name || CASE WHEN rank = 0 THEN ' (ptr)' ELSE '' END FROM ar WHERE place <= 25
+   UNION ALL SELECT id, 7, '    - ' || (count(*) - 25) || ' additional fqdn not listed here' FROM ar GROUP BY id, ip HAVING count(*) > 25
+   UNION ALL SELECT id, 8, unnest(['', '## Disclaimer', '', '""" + RR.DISCLAIMER + """', '']) FROM fine) GROUP BY ALL"""
+
+
+def _due_run(spark, sf_dir):
+    kinds = table(spark, sf_dir, "events").select(F.col("event_type").alias("e"), (F.col("user_id") % 20).alias("n")).distinct()
+    query_text = F.expr(
+        """CASE WHEN n % 4 = 0 THEN 'http_title:"' || e || ' portal ' || n || '"'
+           WHEN n % 4 = 1 THEN 'tag:soft:' || e || ' tag:lang:l' || (n % 3) || ' OR http_server.bg:' || e || '/' || (n % 10) || ' port.nt:' || n
+           WHEN n % 4 = 2 THEN 'banner.lk:"' || e || ' ready ' || n || '"' WHEN n % 8 = 3 THEN 'http_headval:x-powered-by.lk:' || (n % 9)
+           ELSE 'colour:' || n END"""
+    )
     reports = kinds.select(
-        F.crc32("event_type").alias("id"), F.concat(F.lit("Report "), "event_type").alias("name"), F.lit("").alias("description"),
-        F.concat(F.lit("tag:soft:"), "event_type").alias("query"), (F.col("event_type") != "error").alias("active"),
-        F.lit(1).alias("schedule_day"), F.lit(6).alias("schedule_hour"),
-        F.when(F.col("event_type") == "click", F.lit("2024-01-20 00:00:00")).cast("timestamp").alias("last_run_at"),
+        F.expr("e || '-' || n").alias("id"), F.expr("'Report ' || e || '-' || n").alias("name"), F.lit("").alias("description"),
+        query_text.alias("query"), (F.col("e") != "error").alias("active"), F.lit(1).alias("schedule_day"), F.lit(6).alias("schedule_hour"),
+        F.when(F.col("n") % 5 == 0, "once").otherwise("Monthly").alias("schedule_type"),
+        F.when(F.col("e") == "click", F.lit("2024-01-20 00:00:00")).cast("timestamp").alias("last_run_at"),
         F.lit("2024-01-30 06:00:00").cast("timestamp").alias("next_run_at"),
     )
-    docs = documents(spark, sf_dir)
-    lines, _ = R.run_reports(docs, reports, dt.datetime(2024, 1, 31), _bodies(spark, sf_dir))
-    return lines
+    return RR.run_reports(documents(spark, sf_dir), reports, dt.datetime(2024, 1, 31), _bodies(spark, sf_dir))
+
+
+@query("R15_report_batch", with_docs(_R15_SQL + _R15_HITS_SQL + _R15_LINES_SQL))
+def r15(spark, sf_dir):
+    """Lines of all due reports, from one pass over the documents; their order is checked in the tests."""
+    return _due_run(spark, sf_dir).lines.groupBy("report_id", "section", "line").agg(F.count("*").alias("n"))
 
 
+@query(
+    "R15_report_outcome",
+    with_docs(
+        f"""{_R15_SQL}, a AS (SELECT e || '-' || n AS id, e, n FROM r) SELECT a.id, CASE WHEN e = 'error' THEN 'not due' WHEN n % 8 = 7 THEN 'failed' ELSE 'done' END AS status,
+ CASE WHEN e = 'error' OR n % 8 = 7 THEN CASE WHEN e = 'click' THEN TIMESTAMP '2024-01-20 00:00:00' END ELSE TIMESTAMP '2024-01-31 00:00:00' END AS last_run_at,
+ CASE WHEN e = 'error' OR n % 8 = 7 THEN TIMESTAMP '2024-01-30 06:00:00' ELSE TIMESTAMP '2024-02-01 06:00:00' END AS next_run_at FROM a"""
+    ),
+)
+def r15_outcome(spark, sf_dir):
+    """A report that cannot be read fails alone and keeps its times; the others advance."""
+    run = _due_run(spark, sf_dir)
+    out = run.reports.join(run.outcome, "id", "left").select("id", F.coalesce("status", F.lit("not due")).alias("status"), "last_run_at", "next_run_at")
+    return _ntz(out, "last_run_at", "next_run_at")

@@ -12,7 +12,7 @@ from vantage.functions import text as T
 from vantage.functions import times as M
 from vantage.operators import extract as E
 from vantage.operators import ranges as K
-from vantage.operators import report as R
+from vantage.operators import report_runs as RR
 from vantage.operators import rules as G
 from vantage.operators import search as S
 from vantage.operators import shape as H
@@ -208,10 +208,11 @@ def test_report_text(spark):
         spark,
         [{"uid": "u", "ip": "158.64.1.27", "port": ["443"], "tag": ["vuln:filelisting"], "fqdn_requested": ["scan-request.example.org"], "first_seen": 10, "last_seen": 10}],
     )
-    ptr = local_table(spark, [("158.64.1.27", "reverse.example.org")], "ip string, name string")
+    host = F.struct(F.lit("reverse.example.org").alias("name"), F.lit("").alias("hostname"), F.lit("PTR").alias("type"))
+    bodies = spark.range(1).select(F.lit("u").alias("id"), F.struct(F.array(host).alias("hostnames")).alias("body"))
     pdns = local_table(spark, [("158.64.1.27", 1, "historical.example.org")], "ip string, seq bigint, fqdn string")
     report = {"name": "R", "description": "", "query": "tag:vuln:filelisting"}
-    lines = [r.line for r in R.report_lines(report, docs, docs.limit(0), ("A", "B"), ptr, pdns).collect()]
+    lines = [r.line for r in RR.report_lines(docs, report, (5, 20), (1, 4), ("A", "B"), bodies, pdns).collect()]
     start = lines.index("## Hosts")
     assert lines[start + 2 : start + 10] == [
         "- 158.64.1.27", "  - Tag: vuln:filelisting", "  - Open ports: 443", "  - Scan results: 1", "  - Associated FQDNs (3)",
@@ -221,7 +222,7 @@ def test_report_text(spark):
     new = lines.index("## New opened port")
     assert lines[new + 2 : new + 4] == ["- 158.64.1.27", "  - New ports: 443"]
     assert "- 443: 1 host" in lines
-    empty = [r.line for r in R.report_lines(report, docs.limit(0), docs.limit(0), ("A", "B")).collect()]
+    empty = [r.line for r in RR.report_lines(docs.limit(0), report, (5, 20), (1, 4), ("A", "B")).collect()]
     assert {"No matching hosts.", "- No indexed open ports found.", "- No newly opened ports detected."} <= set(empty)
 
 

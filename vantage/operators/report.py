@@ -1,4 +1,4 @@
-"""Monthly difference reports: intervals, collectors and report text.
+"""Monthly difference reports: intervals and collectors (`report_runs` makes whole reports).
 
 Per-address collections that can grow without bound (names) stay long tables;
 lists are built only where the entries are bounded (ports, tags of a rule set,
@@ -13,18 +13,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vantage.functions.netaddr import address_order
 from vantage.functions.text import port_order, report_hostname, sort_ports
 from vantage.functions.times import add_months, ts
-from vantage.operators.search import hits, search_terms
 from vantage.schema import REPORT_NAME_LIMIT, REPORT_PTR_MONTHS
-from vantage.session import local_table
 
-# Report texts.
-DISCLAIMER = (
-    "This report is provided as-is. Results may be incomplete due to unscanned ports, transient scan errors, "
-    "unavailable services, or other collection limitations."
-)
+MONTHLY = "monthly"
 
 
 # --------------------------------------------------------------------------
@@ -32,12 +25,17 @@ DISCLAIMER = (
 
 
 def report_intervals(reports: DataFrame, now) -> DataFrame:
-    """Add the interval of a run now and the comparable one before it."""
+    """Add the interval of a run now and the comparable one before it.
+
+    Only monthly reports have one before; a table without `schedule_type` holds monthly reports.
+    """
     run = ts(now)
     last = ts(F.col("last_run_at"))
     start = F.when(last.isNull() | (last >= run), add_months(run, -1)).otherwise(last)
+    monthly = F.lower("schedule_type") == MONTHLY if "schedule_type" in reports.columns else F.lit(True)
     return reports.withColumn("from_at", start).select(
-        "*", run.alias("to_at"), add_months(F.col("from_at"), -1).alias("previous_from_at"), F.col("from_at").alias("previous_to_at")
+        "*", run.alias("to_at"), F.when(monthly, add_months(F.col("from_at"), -1)).alias("previous_from_at"),
+        F.when(monthly, F.col("from_at")).alias("previous_to_at"),
     )
 
 
@@ -93,30 +91,37 @@ def ptr_cutoff(end: dt.datetime | Column, months: int = REPORT_PTR_MONTHS) -> Co
     return F.unix_seconds(add_months(ts(end), -max(1, months)))
 
 
+def ptr_names(bodies: DataFrame) -> DataFrame:
+    """Usable PTR names of stored bodies: rows (uid, name)."""
+    names = bodies.select(F.col("id").alias("uid"), F.explode("body.hostnames").alias("h"))
+    name = report_hostname(F.coalesce(F.nullif(F.col("h.name"), F.lit("")), F.col("h.hostname")))
+    return names.filter(F.upper(F.coalesce("h.type", F.lit(""))) == "PTR").select("uid", name.alias("name")).filter("name IS NOT NULL")
+
+
 def report_ptr(found: DataFrame, bodies: DataFrame, cutoff: Column) -> DataFrame:
     """Distinct PTR names per address of hit documents seen since the cutoff."""
     recent = found.filter(F.col("last_seen") >= cutoff).select("ip", "uid")
-    names = bodies.select(F.col("id").alias("uid"), F.explode("body.hostnames").alias("h"))
-    name = report_hostname(F.coalesce(F.nullif(F.col("h.name"), F.lit("")), F.col("h.hostname")))
-    ptr = names.filter(F.upper(F.coalesce("h.type", F.lit(""))) == "PTR").select("uid", name.alias("name")).filter("name IS NOT NULL")
-    return recent.join(ptr, "uid").select("ip", "name").distinct()
+    return recent.join(ptr_names(bodies), "uid").select("ip", "name").distinct()
 
 
-def fill_pdns(known: DataFrame, pdns: DataFrame, ips: DataFrame, limit: int = REPORT_NAME_LIMIT) -> DataFrame:
+def fill_pdns(known: DataFrame, pdns: DataFrame, ips: DataFrame, limit: int = REPORT_NAME_LIMIT, by: tuple[str, ...] = ("ip",)) -> DataFrame:
     """Passive-DNS names that fill an address up to `limit` known names.
 
     `known` has one row (ip, name) per listed name, `pdns` (ip, seq, fqdn) in
-    answer order.  A name already known is not repeated.
+    answer order.  A name already known is not repeated.  `by` are the columns
+    that stand for an address in `known` and `ips`, such as (report, ip).
     """
-    first = pdns.join(ips.select("ip").distinct(), "ip", "left_semi").groupBy("ip", "fqdn").agg(F.min("seq").alias("seq"))
-    fresh = first.join(known.select("ip", F.lower("name").alias("fqdn")), ["ip", "fqdn"], "left_anti")
-    order = Window.partitionBy("ip").orderBy("seq", "fqdn")
+    wanted = ips.select(*by).distinct()
+    first = pdns.join(wanted.select("ip").distinct(), "ip", "left_semi").groupBy("ip", "fqdn").agg(F.min("seq").alias("seq"))
+    first = first if by == ("ip",) else first.join(wanted, "ip")
+    fresh = first.join(known.select(*by, F.lower("name").alias("fqdn")), [*by, "fqdn"], "left_anti")
+    order = Window.partitionBy(*by).orderBy("seq", "fqdn")
     # no address can take more than `limit`, so ranking stops there early
     ranked = fresh.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
-    counts = known.groupBy("ip").agg(F.count("name").alias("n"))
-    return ranked.join(counts, "ip", "left").filter(
+    counts = known.groupBy(*by).agg(F.count("name").alias("n"))
+    return ranked.join(counts, list(by), "left").filter(
         F.col("place") <= F.lit(limit) - F.coalesce("n", F.lit(0).cast("bigint"))
-    ).select("ip", "place", F.col("fqdn").alias("name"))
+    ).select(*by, "place", F.col("fqdn").alias("name"))
 
 
 def new_ports(current: DataFrame, previous: DataFrame) -> DataFrame:
@@ -127,185 +132,29 @@ def new_ports(current: DataFrame, previous: DataFrame) -> DataFrame:
 
 
 def associated_names(
-    ptr: DataFrame, requested: DataFrame, pdns: DataFrame, limit: int = REPORT_NAME_LIMIT
+    ptr: DataFrame, requested: DataFrame, pdns: DataFrame, limit: int = REPORT_NAME_LIMIT, by: tuple[str, ...] = ("ip",)
 ) -> tuple[DataFrame, DataFrame]:
     """Names of an address: PTR, then requested, then passive DNS; first one wins.
 
     Returns the shown names (ip, place, name, source) and the totals
-    (ip, total, remaining).
+    (ip, total, remaining); `by` as in :func:`fill_pdns`.
     """
     zero = F.lit(0).cast("bigint")
     rows = [
-        ptr.select("ip", "name", F.lit(0).alias("rank"), zero.alias("seq"), F.lit("ptr").alias("source")),
-        requested.select("ip", "name", F.lit(1).alias("rank"), zero.alias("seq"), F.lit("").alias("source")),
-        pdns.select("ip", "name", F.lit(2).alias("rank"), F.col("place").cast("bigint").alias("seq"), F.lit("pdns").alias("source")),
+        ptr.select(*by, "name", F.lit(0).alias("rank"), zero.alias("seq"), F.lit("ptr").alias("source")),
+        requested.select(*by, "name", F.lit(1).alias("rank"), zero.alias("seq"), F.lit("").alias("source")),
+        pdns.select(*by, "name", F.lit(2).alias("rank"), F.col("place").cast("bigint").alias("seq"), F.lit("pdns").alias("source")),
     ]
     merged = reduce(DataFrame.unionByName, rows)
-    unique = merged.groupBy("ip", F.lower("name").alias("k")).agg(F.min(F.struct("rank", "seq", F.lower("name").alias("k"), "name", "source")).alias("f"))
-    order = Window.partitionBy("ip").orderBy("f.rank", "f.seq", "f.k")
+    unique = merged.groupBy(*by, F.lower("name").alias("k")).agg(F.min(F.struct("rank", "seq", F.lower("name").alias("k"), "name", "source")).alias("f"))
+    order = Window.partitionBy(*by).orderBy("f.rank", "f.seq", "f.k")
     shown = unique.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
-    totals = unique.groupBy("ip").agg(F.count("k").alias("total"))
+    totals = unique.groupBy(*by).agg(F.count("k").alias("total"))
     return (
-        shown.select("ip", "place", F.col("f.name").alias("name"), F.col("f.source").alias("source")),
-        totals.select("ip", "total", F.greatest(F.col("total") - limit, zero).alias("remaining")),
+        shown.select(*by, "place", F.col("f.name").alias("name"), F.col("f.source").alias("source")),
+        totals.select(*by, "total", F.greatest(F.col("total") - limit, zero).alias("remaining")),
     )
 
 
 def report_summary(found: DataFrame) -> DataFrame:
     return found.agg(F.countDistinct("ip").alias("ips"), F.count("uid").alias("scans"))
-
-
-# --------------------------------------------------------------------------
-# report text
-
-
-def _rank_text(order: Column) -> Column:
-    """Address order as one sortable text."""
-    return F.concat(F.lpad(order["version"].cast("string"), 2, "0"), order["key"], order["text"])
-
-
-def _port_text(count: Column, port: Column) -> Column:
-    order = port_order(port)
-    return F.concat(
-        F.lpad((F.lit(10**15) - count).cast("string"), 16, "0"), order["kind"].cast("string"),
-        F.lpad(order["number"].cast("string"), 10, "0"), order["text"],
-    )
-
-
-def _fixed(spark, section: int, lines: list[str]) -> DataFrame:
-    rows = [(section, "", i, line) for i, line in enumerate(lines)]
-    return local_table(spark, rows, "section int, key string, sub int, line string")
-
-
-def report_lines(
-    report: dict,
-    found: DataFrame,
-    previous: DataFrame | None,
-    bounds: tuple[str, str],
-    ptr: DataFrame | None = None,
-    pdns: DataFrame | None = None,
-) -> DataFrame:
-    """The report as rows (section, key, sub, line), ordered by the first three.
-
-    `report` has name, description and query; `bounds` are the period texts.
-    """
-    spark = found.sparkSession
-    requested = report_names(found)
-    none = requested.limit(0)
-    ptr = none if ptr is None else ptr
-    known = ptr.unionByName(requested)
-    filled = (
-        none.select("ip", F.lit(0).alias("place"), "name")
-        if pdns is None
-        else fill_pdns(known, pdns, found.select("ip"))
-    )
-    shown, totals = associated_names(ptr, requested, filled)
-    ports = report_ports(found)
-    counter = port_counter(found)
-    summary = report_summary(found)
-    cols = ["section", "key", "sub", "line"]
-
-    head = [f"# {report['name']}", ""] + ([report["description"], ""] if report.get("description") else [])
-    parts = [
-        _fixed(spark, 0, [*head, "## Summary", "", f"- Query: `{report['query']}`", f"- Period: {bounds[0]} to {bounds[1]}"]),
-        summary.select(
-            F.lit(1).alias("section"), F.lit("").alias("key"),
-            F.posexplode(
-                F.array(
-                    F.concat(F.lit("- Matching IPs: "), F.col("ips").cast("string")),
-                    F.concat(F.lit("- Matching scans: "), F.col("scans").cast("string")),
-                )
-            ).alias("sub", "line"),
-        ),
-        _fixed(spark, 2, ["", "## Open Ports", ""]),
-        counter.select(
-            F.lit(3).alias("section"), _port_text(F.col("hosts"), F.col("port")).alias("key"), F.lit(0).alias("sub"),
-            F.concat(F.lit("- "), "port", F.lit(": "), F.col("hosts").cast("string"), F.when(F.col("hosts") == 1, " host").otherwise(" hosts")).alias("line"),
-        ),
-        counter.agg(F.count("port").alias("n")).filter("n = 0").select(
-            F.lit(3).alias("section"), F.lit("").alias("key"), F.lit(0).alias("sub"), F.lit("- No indexed open ports found.").alias("line")
-        ),
-    ]
-    if previous is not None:
-        gained = new_ports(ports, report_ports(previous))
-        parts += [
-            _fixed(spark, 4, ["", "## New opened port", ""]),
-            gained.select(
-                F.lit(5).alias("section"), _rank_text(address_order("ip")).alias("key"),
-                F.posexplode(
-                    F.array(F.concat(F.lit("- "), "ip"), F.concat(F.lit("  - New ports: "), F.array_join("ports", ", ")))
-                ).alias("sub", "line"),
-            ),
-            gained.agg(F.count("ip").alias("n")).filter("n = 0").select(
-                F.lit(5).alias("section"), F.lit("").alias("key"), F.lit(0).alias("sub"), F.lit("- No newly opened ports detected.").alias("line")
-            ),
-        ]
-    scans = found.groupBy("ip").agg(F.count("uid").alias("scans"))
-    hosts = scans.join(report_tags(found), "ip", "left").join(ports, "ip", "left").join(totals, "ip", "left")
-    none_text = F.coalesce(F.nullif(F.array_join("ports", ", "), F.lit("")), F.lit("none"))
-    host_lines = F.array(
-        F.concat(F.lit("- "), "ip"),
-        F.when(F.size("tags") > 0, F.concat(F.lit("  - Tag: "), F.array_join("tags", ", "))),
-        F.concat(F.lit("  - Open ports: "), none_text),
-        F.concat(F.lit("  - Scan results: "), F.col("scans").cast("string")),
-        F.when(F.col("total") > 0, F.concat(F.lit("  - Associated FQDNs ("), F.col("total").cast("string"), F.lit(")"))),
-    )
-    last = 10 + REPORT_NAME_LIMIT
-    parts += [
-        _fixed(spark, 6, ["", "## Hosts", ""]),
-        scans.agg(F.count("ip").alias("n")).filter("n = 0").select(
-            F.lit(7).alias("section"), F.lit("").alias("key"), F.lit(0).alias("sub"), F.lit("No matching hosts.").alias("line")
-        ),
-        hosts.select(F.lit(7).alias("section"), _rank_text(address_order("ip")).alias("key"), F.posexplode(host_lines).alias("sub", "line")).filter("line IS NOT NULL"),
-        shown.select(
-            F.lit(7).alias("section"), _rank_text(address_order("ip")).alias("key"), (F.col("place") + 9).alias("sub"),
-            F.concat(F.lit("    - "), "name", F.when(F.col("source") == "", "").otherwise(F.concat(F.lit(" ("), "source", F.lit(")")))).alias("line"),
-        ),
-        totals.filter("remaining > 0").select(
-            F.lit(7).alias("section"), _rank_text(address_order("ip")).alias("key"), F.lit(last).alias("sub"),
-            F.concat(F.lit("    - "), F.col("remaining").cast("string"), F.lit(" additional fqdn not listed here")).alias("line"),
-        ),
-        _fixed(spark, 8, ["", "## Disclaimer", "", DISCLAIMER, ""]),
-    ]
-    return reduce(DataFrame.unionByName, [p.select(*cols) for p in parts]).orderBy("section", "key", "sub")
-
-
-def write_report(lines: DataFrame, path: str) -> None:
-    """The ordered lines as text files (read them in name order)."""
-    lines.select("line").write.mode("overwrite").text(path)
-
-
-def _epoch(value: dt.datetime) -> int:
-    return int(value.replace(tzinfo=dt.timezone.utc).timestamp())
-
-
-def run_reports(
-    docs: DataFrame,
-    reports: DataFrame,
-    now: dt.datetime,
-    bodies: DataFrame | None = None,
-    pdns: DataFrame | None = None,
-    include_ptr: bool = True,
-) -> tuple[DataFrame | None, DataFrame]:
-    """Lines of every due report, and the report table with advanced run times.
-
-    Report definitions are few, so they are planned one after the other; each is
-    its own distributed job over the documents.
-    """
-    due = report_intervals(due_reports(reports, now), now).collect()
-    frames = []
-    show = lambda t: t.strftime("%Y-%m-%d %H:%M:%S UTC")
-    for r in due:
-        groups = search_terms(r["query"])
-        found = hits(docs, groups, _epoch(r["from_at"]), _epoch(r["to_at"]))
-        before = hits(docs, groups, _epoch(r["previous_from_at"]), _epoch(r["previous_to_at"]))
-        ptr = report_ptr(found, bodies, ptr_cutoff(r["to_at"])) if include_ptr and bodies is not None else None
-        lines = report_lines(r.asDict(), found, before, (show(r["from_at"]), show(r["to_at"])), ptr, pdns)
-        frames.append(lines.select(F.lit(r["id"]).alias("report_id"), "*"))
-    ran = F.col("id").isin([r["id"] for r in due]) if due else F.lit(False)
-    updated = next_run(reports, now).select(
-        *[c for c in reports.columns if c not in ("last_run_at", "next_run_at")],
-        F.when(ran, ts(now)).otherwise(ts(F.col("last_run_at"))).alias("last_run_at"),
-        F.when(ran, F.col("next_at")).otherwise(ts(F.col("next_run_at"))).alias("next_run_at"),
-    )
-    return (reduce(DataFrame.unionByName, frames) if frames else None), updated
