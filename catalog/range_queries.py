@@ -226,6 +226,16 @@ def k9_v6(spark, sf_dir):
     return K.split_networks(sized, 300, 4).select("id", "lo", F.col("blocks").cast("string").alias("blocks"))
 
 
+@query(
+    "K9_split_networks_v6",
+    f"""WITH {NETS6_SQL}, n AS (SELECT id, lo, size, unnest(range(0, CAST(greatest(size // 256, 1) AS BIGINT))) AS i FROM six WHERE size <= 16777216)
+        SELECT id, lpad(lower(to_hex(lo + i * 256)), 32, '0') AS lo, CAST(CASE WHEN size > 256 THEN 120 ELSE 128 - log2(size) END AS INT) AS prefix FROM n""",
+)
+def k9_whole_v6(spark, sf_dir):
+    """All blocks of the networks of /104 and narrower; a wider one is listed by slices (K9_block_slices_v6)."""
+    return K.split_networks(networks_v6(spark, sf_dir).filter("prefix >= 104")).select("id", "lo", "prefix")
+
+
 @query(
     "K7_address_total",
     f"WITH {NETS_SQL} SELECT CAST(sum(size) AS BIGINT) AS ips, CAST(sum(size) AS DOUBLE) AS ips_double FROM nets",

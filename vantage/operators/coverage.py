@@ -57,9 +57,24 @@ def effective_links(targets: DataFrame, profiles: DataFrame, links: DataFrame) -
 
 
 def missing_states(targets: DataFrame, profiles: DataFrame, links: DataFrame, states: DataFrame) -> DataFrame:
-    """Pairs of active targets and their profiles without a state."""
-    wanted = effective_links(targets.filter("active"), profiles, links)
-    return wanted.join(states.select("profile_id", "target_id"), ["profile_id", "target_id"], "left_anti")
+    """Pairs of active targets and their profiles without a state.
+
+    Links and states meet as two sets of profile ids a target (at most the profiles there are); the complement is taken
+    before anything is exploded, so only missing pairs become rows.  All steps share one partitioning by target.
+    """
+    def pairs(df: DataFrame, linked: bool) -> DataFrame:
+        return df.select("target_id", "profile_id", F.lit(linked).alias("linked"))
+
+    both = pairs(links, True).unionByName(pairs(states, False))
+    sets = both.groupBy(F.col("target_id").alias("id")).agg(
+        F.collect_set(F.when(F.col("linked"), F.col("profile_id"))).alias("linked"),
+        F.collect_set(F.when(~F.col("linked"), F.col("profile_id"))).alias("present"),
+    )
+    none = F.array().cast(f"array<{profiles.schema['id'].dataType.simpleString()}>")
+    everywhere = profiles.filter("apply_to_all").agg(F.collect_set("id")).scalar()
+    wanted = F.array_union(F.coalesce("linked", none), F.coalesce(everywhere, none))
+    known = targets.filter("active").select("id").distinct().join(sets, "id", "left")
+    return known.select(F.explode(F.array_except(wanted, F.coalesce("present", none))).alias("profile_id"), F.col("id").alias("target_id"))
 
 
 def applicable_states(states: DataFrame, targets: DataFrame, profiles: DataFrame, links: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vantage.functions.text import clean, is_header_name, report_hostname
@@ -61,23 +61,50 @@ def read_delegated(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def file_place() -> Column:
+    """Place of a row in its source, to be taken straight from the scan: file, start of the split, row.
+
+    Rows of a split are numbered upwards, whichever task reads it, so places sort like the files by path and like the
+    lines in them.
+    """
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+
+
 def read_target_list(spark: SparkSession, path: str, bulk: bool = False) -> DataFrame:
-    """Targets of a list file, in file order.
+    """Targets of list files; `ord` grows with the files' paths, their lines and the entries of a line.
 
     Plain form: one target per line.  Bulk form: lines may hold carriage
     returns, and quotes, commas and semicolons around an entry are removed.
+    `ord` is the number of the split (the only thing ordered as a whole, one row
+    a split) above the number of the entry in it.
     """
     # with carriage returns kept inside a line, the bulk form can split on them
     rows = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(path)
+    rows = rows.select(file_place().alias("at"), "value")
+    splits = rows.select("at.file", "at.block").distinct()
+    numbered = splits.withColumn("split", F.row_number().over(Window.orderBy("file", "block")).cast("bigint"))
     entry = F.explode(F.split("value", "\r")) if bulk else F.col("value")
     strip = "^[\\s,;'\"]+|[\\s,;'\"]+$" if bulk else r"^\s+|\s+$"
+    # the lower 33 bits of the number count the rows of a task
+    entries = rows.select("at.file", "at.block", entry.alias("raw")).withColumn(
+        "n", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    )
     return (
-        rows.select(F.monotonically_increasing_id().alias("_line"), entry.alias("raw"))
-        .select(F.monotonically_increasing_id().alias("ord"), F.regexp_replace("raw", strip, "").alias("value"))
+        entries.join(numbered, ["file", "block"])
+        .select((F.shiftleft("split", 33) + F.col("n")).alias("ord"), F.regexp_replace("raw", strip, "").alias("value"))
         .filter("value <> ''")
     )
 
 
+def read_first_seen(spark: SparkSession, path: str) -> DataFrame:
+    """csv files ``uid,ip,first_seen,last_seen`` with a header; `ord` is the place of the row."""
+    rows = spark.read.option("recursiveFileLookup", True).csv(path, header=True, schema="uid string, ip string, first_seen string, last_seen string")
+    return rows.select("*", file_place().alias("ord"))
+
+
 def _first_name(record: Column) -> Column:
     """First usable host name of a passive-DNS record, by field order."""
     # Fields that may carry the name.
@@ -110,10 +137,10 @@ def parse_pdns(lines: DataFrame) -> DataFrame:
 
 
 def read_pdns(spark: SparkSession, path: str) -> DataFrame:
-    """Passive-DNS NDJSON files; the address is the file stem or an `ip` field."""
+    """Passive-DNS NDJSON files; the address is the file stem or an `ip` field, `seq` the place of the line."""
     stem = F.nullif(F.regexp_extract("_metadata.file_name", r"^([0-9a-fA-F:.]+)\.(?:nd)?json$", 1), F.lit(""))
     lines = spark.read.option("recursiveFileLookup", True).text(path).select(
-        "value", stem.alias("ip"), F.monotonically_increasing_id().alias("seq")
+        "value", stem.alias("ip"), file_place().alias("seq")
     )
     return parse_pdns(lines)
 

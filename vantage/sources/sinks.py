@@ -36,12 +36,15 @@ def import_first_seen(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, Data
 
     Returns the documents and the row counts per status (updated, missing,
     invalid).  Evaluating only the counts is the dry run.  If a uid is listed
-    more than once its last row wins.
+    more than once its last valid row by `ord` wins (see `lists.read_first_seen`;
+    rows without that column are taken in the order in which they are read), of
+    rows in one place the latest time.
     """
+    place = F.col("ord") if "ord" in rows.columns else F.monotonically_increasing_id()
     parsed = rows.select(
         clean(F.coalesce("uid", F.lit(""))).alias("uid"),
         epoch("first_seen").alias("_f"),
-        F.monotonically_increasing_id().alias("_n"),
+        place.alias("_n"),
     )
     valid = (F.col("uid") != "") & F.col("_f").isNotNull()
     known = docs.select("uid").distinct().withColumn("_known", F.lit(True))
@@ -54,7 +57,7 @@ def import_first_seen(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, Data
         checked.unionByName(parsed.filter(~valid).select(F.lit("invalid").alias("status")))
         .groupBy("status").agg(F.count("status").alias("count"))
     )
-    fresh = parsed.filter(valid).groupBy("uid").agg(F.max_by("_f", "_n").alias("_f"))
+    fresh = parsed.filter(valid).groupBy("uid").agg(F.max(F.struct("_n", "_f"))["_f"].alias("_f"))
     updated = docs.join(fresh, "uid", "left").select(
         *[F.coalesce("_f", "first_seen").alias(c) if c == "first_seen" else F.col(c) for c in docs.columns]
     )
