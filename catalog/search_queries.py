@@ -202,14 +202,38 @@ def q19_cursor(spark, sf_dir):
     return _page(spark, sf_dir).info
 
 
-@query("Q20_window_growth")
+_END = NOW_S + 40 * 86400
+# windows of 1, 2, 4 ... days hold the days 2^w - 1 to 2^(w+1) - 2 back from the end
+_GROWN_SQL = f""", h AS (SELECT ip, first_seen, last_seen, CAST(floor(log2(({_END} - last_seen) // 86400 + 1)) AS INT) AS w FROM docs
+  WHERE list_contains(tag, 'hard:big') AND last_seen BETWEEN 0 AND {_END}),
+ f AS (SELECT ip, count(*) AS uid_count, min(first_seen) AS min_seen, max(last_seen) AS max_seen FROM h WHERE w = (SELECT min(w) FROM h) GROUP BY ip)"""
+
+
+@query("Q20_window_growth", with_docs(f"{_GROWN_SQL} SELECT * FROM f ORDER BY max_seen DESC, ip LIMIT 50"))
 def q20(spark, sf_dir):
     """First page with hits, found by doubling the window back from the end."""
     docs = documents(spark, sf_dir)
-    pages = S.search_pages(docs, S.search_terms("tag:hard:big"), (0, NOW_S + 40 * 86400), 50)
+    pages = S.search_pages(docs, S.search_terms("tag:hard:big"), (0, _END), 50)
     return next(pages).rows
 
 
+@query(
+    "Q20_second_page",
+    with_docs(f"""{_GROWN_SQL}, p AS (SELECT * FROM f ORDER BY max_seen DESC, ip LIMIT 10)
+     SELECT * FROM f WHERE ip NOT IN (SELECT ip FROM p) AND (SELECT count(*) FROM f) > 10 ORDER BY max_seen DESC, ip LIMIT 10"""),
+)
+def q20_second(spark, sf_dir):
+    """Page after a full one: a range of the summary from the last place shown, in the same window."""
+    summary = S.summarize(documents(spark, sf_dir), S.search_terms("tag:hard:big"), (0, _END))
+    cursor, days = S.Cursor(_END), 1
+    while cursor is not None and not cursor.shown:
+        at, width = cursor, days
+        _, cursor = S.next_page(summary, cursor, 10, width)
+        days *= 2
+    same = S.Cursor(at.at, cursor.after, cursor.shown) if cursor else at
+    return S.next_page(summary, same, 10, width)[0].rows
+
+
 @query(
     "Q21_scoped_search",
     with_docs(

@@ -29,7 +29,7 @@ from vantage.schema import (
     SEARCH_PAGE_LIMIT,
     SUGGESTION_LIMIT,
 )
-from vantage.session import local_table
+from vantage.session import local_table, materialize
 
 Term = tuple[str, str, str]
 
@@ -225,7 +225,12 @@ def hits(docs: DataFrame, groups: Iterable[Iterable[Term]], start: int, end: int
 
 def by_ip(found: DataFrame) -> DataFrame:
     """Per address: number of hit documents and their seen range."""
-    return found.groupBy("ip").agg(
+    return by_ip_and(found)
+
+
+def by_ip_and(found: DataFrame, *keys: Column) -> DataFrame:
+    """As :func:`by_ip`, per address and further keys."""
+    return found.groupBy("ip", *keys).agg(
         F.count("uid").alias("uid_count"),
         F.min("first_seen").alias("min_seen"),
         F.max("last_seen").alias("max_seen"),
@@ -338,6 +343,87 @@ def search_page(
     return Page(rows, info, (low, cursor))
 
 
+@dataclass(frozen=True)
+class Cursor:
+    """Where a search goes on: the end of the next window, and the place (newest second, address) of the last row shown."""
+
+    at: int
+    after: tuple[int, str] | None = None
+    shown: int = 0
+
+
+@dataclass(frozen=True)
+class Summary:
+    """Hits of a search by address and day back from its end, written once and clustered by the newest hit.
+
+    `table` has rows (ip, day, uid_count, min_seen, max_seen, newest).
+    """
+
+    table: DataFrame
+    bounds: tuple[int, int]
+
+
+def summarize(docs: DataFrame, groups: Iterable[Iterable[Term]], bounds: tuple[int, int]) -> Summary:
+    """The table that the pages of a search read: one scan of the documents, however many pages follow.
+
+    An address has at most a row a day.  The rows are sorted into ranges of the newest hit, so a page opens only files
+    and row groups of its window.
+    """
+    start, end = bounds
+    day = F.floor((F.lit(end) - F.col("last_seen")) / DAY).cast("bigint")
+    daily = materialize(by_ip_and(docs.filter(seen_in(start, end) & any_of(groups)), day.alias("day")), "search-days")
+    newest = F.max("max_seen").over(Window.partitionBy("ip"))
+    placed = daily.withColumn("newest", newest).repartitionByRange("newest", "ip").sortWithinPartitions("newest", "ip")
+    return Summary(materialize(placed, "search-summary"), bounds)
+
+
+def next_page(
+    summary: Summary, cursor: Cursor | None = None, limit: int = SEARCH_PAGE_LIMIT, window_days: int = 1
+) -> tuple[Page, Cursor | None]:
+    """One page, and the cursor of the one after it (None at the end).
+
+    Shows what :func:`search_page` shows with all earlier addresses as `seen`: an address belongs to the window of its
+    newest hit and pages go back in time, so all that was shown lies before one place in the order (newest hit first, then
+    address).  The page is a range of the summary from there on, and costs the same however many came before.  Its rows
+    (at most `limit`) and its `info`, with the number of addresses shown so far, are local tables.
+    """
+    start, end = summary.bounds
+    cursor = cursor or Cursor(end)
+    days = max(1, min(int(window_days or 1), SEARCH_MAX_WINDOW_DAYS))
+    live = cursor.at >= start
+    low = max(cursor.at - days * DAY + 1, start) if live else cursor.at
+    scanned = max(1, (cursor.at - low) // DAY + 1) if live else 0
+    inside = F.col("newest").between(low, cursor.at) & F.col("day").between((end - cursor.at) // DAY, (end - low) // DAY)
+    if cursor.after is not None:
+        second, ip = cursor.after
+        inside = inside & (F.col("newest") <= second) & ((F.col("newest") < second) | (F.col("ip") > ip))
+    grouped = summary.table.filter(inside if live else F.lit(False)).groupBy("ip").agg(
+        F.sum("uid_count").alias("uid_count"), F.min("min_seen").alias("min_seen"), F.max("max_seen").alias("max_seen")
+    )
+    probe = [tuple(r) for r in ordered(grouped).limit(limit + 1).collect()]
+    rows, full = probe[:limit], len(probe) > limit
+    spark, shown = summary.table.sparkSession, cursor.shown + len(rows)
+    at = cursor.at if full or not live else low - 1
+    more = full or (live and at >= start)
+    info = (len(rows), shown, full, at, more, scanned, days)
+    page = Page(
+        local_table(spark, rows, "ip string, uid_count bigint, min_seen bigint, max_seen bigint"),
+        local_table(
+            spark, [info],
+            "returned bigint, shown bigint, stopped_in_window boolean, next_cursor bigint, has_more boolean, scanned_days bigint, window_days bigint",
+        ),
+        (low, cursor.at),
+    )
+    after = (rows[-1][3], rows[-1][0]) if rows else cursor.after
+    return page, (Cursor(at, after, shown) if more else None)
+
+
+def page_names(docs: DataFrame, groups: Iterable[Iterable[Term]], page: Page) -> DataFrame:
+    """Requested names (ip, uid, requested) of the hits on a page."""
+    found = docs.filter(seen_in(*page.window) & any_of(groups)).join(page.rows.select("ip"), "ip", "left_semi")
+    return found.select("ip", "uid", F.array_sort(F.array_distinct(F.col("fqdn_requested"))).alias("requested"))
+
+
 def search_pages(
     docs: DataFrame,
     groups: list[list[Term]],
@@ -347,22 +433,17 @@ def search_pages(
     """Pages of a search, newest first.
 
     The window doubles while it finds nothing and returns to one day after a
-    hit.  Only page bookkeeping (at most `limit` addresses per page) reaches the
-    driver.
+    hit.
     """
-    spark = docs.sparkSession
-    cursor, days, shown = bounds[1], 1, []
-    while cursor is not None and cursor >= bounds[0]:
-        seen = local_table(spark, [(ip,) for ip in shown], "ip string") if shown else None
-        page = search_page(docs, groups, bounds, cursor, seen, limit, days)
-        info = page.info.first()
-        if info["returned"]:
-            shown += [r["ip"] for r in page.rows.select("ip").collect()]
+    summary = summarize(docs, groups, bounds)
+    cursor, days = Cursor(bounds[1]), 1
+    while cursor is not None and cursor.at >= bounds[0]:
+        shown = cursor.shown
+        page, cursor = next_page(summary, cursor, limit, days)
+        found = page.info.first()["shown"] > shown
+        if found:
             yield page
-            days = 1
-        else:
-            days = min(days * 2, SEARCH_MAX_WINDOW_DAYS)
-        cursor = info["next_cursor"] if info["has_more"] else None
+        days = 1 if found else min(days * 2, SEARCH_MAX_WINDOW_DAYS)
 
 
 # --------------------------------------------------------------------------
