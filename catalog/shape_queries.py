@@ -212,12 +212,13 @@ def p14(spark, sf_dir):
 )
 def p15(spark, sf_dir):
     """Whole extraction with rules; values of three fields are counted."""
-    from vantage.operators.rules import rule_tables
-
     suffixes = local_table(spark, [(s,) for s in CONFIG.suffixes], "suffix string")
     headers = local_table(spark, list(CONFIG.headers.items()), "header_name string, collect_value boolean")
-    kinds = [r[0] for r in table(spark, sf_dir, "events").select("event_type").distinct().collect() if r[0] != "view"]
-    rules = rule_tables(spark, [{"name": k, "description": k, "query": f"http_server.bg:{k}/", "tags": [f"tag:soft:{k}"]} for k in sorted(kinds)])
+    kinds = table(spark, sf_dir, "events").select(F.col("event_type").alias("name")).distinct().filter("name <> 'view'")
+    rules = (
+        kinds.selectExpr("name", "0 AS ord", "true AS active", "name AS description", "'http_server.bg:' || name || '/' AS query", "array('tag:soft:' || name) AS tags", "'' AS version"),
+        kinds.selectExpr("name AS rule", "0 AS grp", "0 AS term", "'http_server' AS field", "'begin' AS op", "name || '/' AS value"),
+    )
     # observations of one document are kept apart: ids are made unique per scan end
     raw = port_documents(spark, sf_dir).withColumn("id", F.concat("id", F.lit("-"), F.monotonically_increasing_id().cast("string")))
     docs = E.extract(raw, suffixes, headers, rules)

@@ -7,6 +7,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+import catalog
 from tests.oracle_check import compare, duck
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
@@ -24,5 +25,10 @@ def test_query(spark, con, name):
     assert status in ("ok", "rows-only", "EMPTY"), f"{status} {rows} {note}"
 
 
+def test_every_own_query_has_sql():
+    queries, oracles = catalog.load()
+    assert set(queries) == set(oracles)
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).count() >= 0
