@@ -103,6 +103,21 @@ def test_plan_has_no_join_on_a_field_alone(spark):
     assert plan.count("percolate-docs") <= 2 and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_rules_alike_leave_the_last_join_unshuffled(spark):
+    terms = [(f"a{i}", 0, 0, "banner", "like", "x") for i in range(200)]
+    terms += [(f"b{i}", g, 0, "banner", "like", v) for i in range(200) for g, v in enumerate(("x", "y"))]
+    rules = [(r, i, True, r, "q", [f"rule:{r}", "soft:all"], "") for i, r in enumerate(sorted({t[0] for t in terms}))]
+    docs = documents(spark, [(f"u{i}", "8.8.8.8", {"banner": [v]}) for i, v in enumerate(["x", "xy", "y", "z"] * 5)])
+    index = P.compile_rules(spark.createDataFrame(terms, G.TERM_SCHEMA))
+    assert P.bundle_hits(docs, index).distinct().count() == 25  # x and xy match both kinds of rules, y one
+    pairs = [tuple(r) for r in P.percolate(docs, index).collect()]
+    assert len(pairs) == len(set(pairs)) == 10 * 400 + 5 * 200
+    tags = {r["uid"]: r["tag"] for r in G.apply_rules(docs, spark.createDataFrame(rules, G.RULE_SCHEMA), spark.createDataFrame(terms, G.TERM_SCHEMA)).collect()}
+    every = ["rule:a0", "soft:all", *(f"rule:{r[0]}" for r in rules[1:])]
+    assert tags["u0"] == tags["u1"] == every and "u3" not in tags
+    assert tags["u2"] == ["rule:b0", "soft:all", *(t for t in every if t.startswith("rule:b") and t != "rule:b0")]
+
+
 FILES = [
     "description: Plain words\nquery: port:80 OR http_title.lk:login\ntags:\n- a:b\n- 'c:d e'\nversion: 20260520T133458Z\n",
     'description: "Quoted: \\"x\\" \\u00e9\\xe9"\nquery: "http_title:\\"a\n  b\\" \\\n  port:1"\ntags:\n  - "x:\\ty"\n  - plain # comment\n',
