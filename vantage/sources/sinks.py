@@ -90,7 +90,11 @@ def export_ips(hits: DataFrame, path: str) -> None:
 
 
 def export_rules(rules: DataFrame, path: str, version: str) -> None:
-    """Every rule as text below a folder named after its file, one version stamp."""
+    """Every rule as text below a folder named after its file, one version stamp.
+
+    Files are put in place by the tasks that wrote them, not one after the other by the driver; the success mark says
+    that all are there.
+    """
     def quoted(column) -> Column:  # a JSON string is a YAML double-quoted scalar
         whole = F.to_json(F.struct(column.alias("v")))
         return F.regexp_replace(whole, r'^\{"v":|\}$', "")
@@ -102,4 +106,4 @@ def export_rules(rules: DataFrame, path: str, version: str) -> None:
     )
     file = F.concat(F.lower(F.replace("name", F.lit(" "), F.lit("_"))), F.lit(".yaml"))
     rows = rules.select(file.alias("file"), text.alias("value"))
-    rows.write.mode("overwrite").partitionBy("file").text(path)
+    rows.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").mode("overwrite").partitionBy("file").text(path)
