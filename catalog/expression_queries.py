@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import query, table
+from catalog.base import query, spread, table
 from catalog.bindings import OBS_SQL, documents, observations, with_docs
 from catalog.range_queries import ip_sql
 from vantage.functions import netaddr as N
@@ -98,7 +98,7 @@ def n6(spark, sf_dir):
 )
 def n7(spark, sf_dir):
     text = F.concat(N.ipv4_text(F.expr(_SPREAD)), F.lit("/"), (6 + F.col("p_partkey") % 27).cast("string"))
-    return table(spark, sf_dir, "part").select("p_partkey", N.is_public_network(text).alias("public"), N.canonical_target(text).alias("canonical"))
+    return spread(table(spark, sf_dir, "part")).select("p_partkey", N.is_public_network(text).alias("public"), N.canonical_target(text).alias("canonical"))
 
 
 @query(
@@ -110,7 +110,7 @@ def n7_v6(spark, sf_dir):
     text = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("2A00:"), group, F.lit(":0:0:0:9:8:7/48"))).when(
         F.col("p_size") % 3 == 1, F.concat(F.lit("fd00:"), group, F.lit("::1/64"))
     ).otherwise(F.concat(F.lit("2a00::"), group, F.lit("::1/64")))
-    return table(spark, sf_dir, "part").select("p_partkey", N.is_public_network(text).alias("public"), N.canonical_target(text).alias("canonical"))
+    return spread(table(spark, sf_dir, "part")).select("p_partkey", N.is_public_network(text).alias("public"), N.canonical_target(text).alias("canonical"))
 
 
 _UNITS = "CASE WHEN p_size % 4 = 0 THEN '8.0.0.1/' || (p_partkey % 33) WHEN p_size % 4 = 1 THEN 'n' || p_partkey || '.example.com.' WHEN p_size % 4 = 2 THEN '2000::/' || (p_partkey % 129) ELSE ' ' END"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import query, table
+from catalog.base import query, spread, table
 from catalog.bindings import with_docs
 from vantage.functions import netaddr as N
 from vantage.operators import ranges as K
@@ -35,7 +35,7 @@ def networks(spark, sf_dir):
     x = (F.lit(BASE) + F.col("s_suppkey") * 64) % 4294967296
     prefix = (F.lit(20) + F.col("s_suppkey") % 11).cast("int")
     key = N.v4_key(x)
-    rows = table(spark, sf_dir, "supplier").select(
+    rows = spread(table(spark, sf_dir, "supplier")).select(
         F.col("s_suppkey").alias("id"), "s_name", "s_nationkey", prefix.alias("prefix"), key.alias("_k")
     )
     return rows.select(
@@ -79,7 +79,7 @@ def _entries(spark, sf_dir):
         .when(k == 3, F.expr("'10.0.' || (p_partkey % 200) || '.1'"))
         .otherwise(F.expr("'bad_' || p_partkey"))
     )
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), raw.alias("value"))
+    return spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("ord"), raw.alias("value"))
 
 
 def _valid_entries(spark, sf_dir):
@@ -198,7 +198,7 @@ def networks_v6(spark, sf_dir):
     """supplier -> IPv6 networks of every prefix from 32 on."""
     key = F.concat(F.lit("20010db8"), F.lpad(F.lower(F.hex("s_suppkey")), 8, "0"), F.lit("0" * 16))
     prefix = (F.lit(32) + F.col("s_suppkey") % 97).cast("int")
-    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), prefix.alias("prefix"), key.alias("_k"))
+    rows = spread(table(spark, sf_dir, "supplier")).select(F.col("s_suppkey").alias("id"), prefix.alias("prefix"), key.alias("_k"))
     return rows.select("id", "prefix", N.mask_key("_k", F.col("prefix"), 0).alias("lo"), N.mask_key("_k", F.col("prefix"), 1).alias("hi"))
 
 
