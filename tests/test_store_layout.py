@@ -97,3 +97,17 @@ def test_postings_leave_no_old_field(spark, store):
     ST.write_postings(one, store)
     ST.write_postings(one.filter("field = 'port'"), store)
     assert [r["field"] for r in spark.read.parquet(store).collect()] == ["port"]
+
+
+def test_documents_are_sorted_after_they_are_dealt(spark, store):
+    plan = ST.latest_per_uid(docs(spark, ("1", 1, 2, "x")))._jdf.queryExecution().executedPlan().toString().splitlines()
+    dealt = next(n for n, line in enumerate(plan) if "Exchange hashpartitioning(uid" in line)
+    assert any("Sort" in line for line in plan[:dealt]) and not any("Sort" in line for line in plan[dealt:])
+
+
+def test_compaction_cuts_ranges_of_many_documents(spark, store, monkeypatch):
+    I.append_documents(docs(spark, *[(str(n), n, n, "x") for n in range(400)]), store, 0)
+    monkeypatch.setattr(I, "FILE_ROWS", 40)
+    I.compact(spark, store, files=2)
+    written = spark.read.parquet(f"{store}/{read_manifest(spark, store).base}/files").collect()
+    assert len(written) > 5 and max(r["rows"] for r in written) < 200 and sum(r["rows"] for r in written) == 400
