@@ -8,6 +8,7 @@ the names shown).
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -93,9 +94,9 @@ def ptr_cutoff(end: dt.datetime | Column, months: int = REPORT_PTR_MONTHS) -> Co
 
 def ptr_names(bodies: DataFrame) -> DataFrame:
     """Usable PTR names of stored bodies: rows (uid, name)."""
-    names = bodies.select(F.col("id").alias("uid"), F.explode("body.hostnames").alias("h"))
-    name = report_hostname(F.coalesce(F.nullif(F.col("h.name"), F.lit("")), F.col("h.hostname")))
-    return names.filter(F.upper(F.coalesce("h.type", F.lit(""))) == "PTR").select("uid", name.alias("name")).filter("name IS NOT NULL")
+    hosts = F.filter("body.hostnames", lambda h: F.upper(F.coalesce(h["type"], F.lit(""))) == "PTR")
+    names = F.transform(hosts, lambda h: report_hostname(F.coalesce(F.nullif(h["name"], F.lit("")), h["hostname"])))
+    return bodies.select(F.col("id").alias("uid"), F.explode(F.array_compact(names)).alias("name"))
 
 
 def report_ptr(found: DataFrame, bodies: DataFrame, cutoff: Column) -> DataFrame:
@@ -132,12 +133,14 @@ def new_ports(current: DataFrame, previous: DataFrame) -> DataFrame:
 
 
 def associated_names(
-    ptr: DataFrame, requested: DataFrame, pdns: DataFrame, limit: int = REPORT_NAME_LIMIT, by: tuple[str, ...] = ("ip",)
+    ptr: DataFrame, requested: DataFrame, pdns: DataFrame, limit: int = REPORT_NAME_LIMIT, by: tuple[str, ...] = ("ip",),
+    kept: Callable[[DataFrame], DataFrame] = lambda names: names,
 ) -> tuple[DataFrame, DataFrame]:
     """Names of an address: PTR, then requested, then passive DNS; first one wins.
 
     Returns the shown names (ip, place, name, source) and the totals
-    (ip, total, remaining); `by` as in :func:`fill_pdns`.
+    (ip, total, remaining); `by` as in :func:`fill_pdns`.  A caller that wants
+    both passes `kept`, which writes the merged names that both read.
     """
     zero = F.lit(0).cast("bigint")
     rows = [
@@ -146,7 +149,7 @@ def associated_names(
         pdns.select(*by, "name", F.lit(2).alias("rank"), F.col("place").cast("bigint").alias("seq"), F.lit("pdns").alias("source")),
     ]
     merged = reduce(DataFrame.unionByName, rows)
-    unique = merged.groupBy(*by, F.lower("name").alias("k")).agg(F.min(F.struct("rank", "seq", F.lower("name").alias("k"), "name", "source")).alias("f"))
+    unique = kept(merged.groupBy(*by, F.lower("name").alias("k")).agg(F.min(F.struct("rank", "seq", F.lower("name").alias("k"), "name", "source")).alias("f")))
     order = Window.partitionBy(*by).orderBy("f.rank", "f.seq", "f.k")
     shown = unique.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
     totals = unique.groupBy(*by).agg(F.count("k").alias("total"))

@@ -105,24 +105,19 @@ def report_hits(docs: DataFrame, runs: DataFrame, terms: DataFrame) -> DataFrame
 def report_hosts(hits: DataFrame) -> DataFrame:
     """One row per (report, ip) with hits in the period: scans, ports, gained ports, tags.
 
-    All come from one aggregation; lists hold at most the ports there are and the tags of a rule set.
+    All come from one aggregation with a row a hit.  It keeps distinct lists: a document has the port it was found at and
+    the tags of a rule set, so an address has as many of them as ports and sets of tags.
     """
-    def entries(kind: str, values: Column, when: Column) -> Column:
-        pairs = F.transform(values, lambda v: F.named_struct(F.lit("kind"), F.lit(kind), F.lit("value"), F.trim(v)))
-        none = F.expr("CAST(array() AS ARRAY<STRUCT<kind: STRING, value: STRING>>)")
-        return F.coalesce(F.when(when, F.filter(pairs, lambda p: p["value"] != "")), none)
-
-    now, before = F.col("now"), F.col("before")
-    scan = F.when(now, F.array(F.named_struct(F.lit("kind"), F.lit("scan"), F.lit("value"), F.lit(None).cast("string"))))
-    parts = F.concat(
-        F.coalesce(scan, F.expr("CAST(array() AS ARRAY<STRUCT<kind: STRING, value: STRING>>)")),
-        entries("port", F.col("port"), now), entries("tag", F.col("tag"), now), entries("old", F.col("port"), before),
-    )
-    rows = hits.select(*KEY, F.explode(parts).alias("e")).select(*KEY, "e.kind", "e.value")
-    of = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.col("value")))
-    found = rows.groupBy(*KEY).agg(
-        F.count_if(F.col("kind") == "scan").alias("scans"), of("port").alias("ports"), of("old").alias("old"), of("tag").alias("tags")
+    def lists(name: str, when: str) -> Column:
+        return F.collect_set(F.when(F.col(when) & (F.size(name) > 0), F.col(name)))
+
+    def values(name: str) -> Column:
+        return F.array_distinct(F.filter(F.transform(F.flatten(name), lambda v: F.trim(v)), lambda v: v != ""))
+
+    met = hits.groupBy(*KEY).agg(
+        F.count_if("now").alias("scans"), lists("port", "now").alias("ports"), lists("port", "before").alias("old"), lists("tag", "now").alias("tags")
     ).filter("scans > 0")
+    found = met.select(*KEY, "scans", *[values(name).alias(name) for name in ("ports", "old", "tags")])
     # case-blind order of tags
     keyed = F.transform("tags", lambda t: F.struct(F.lower(t).alias("k"), t.alias("t")))
     return found.select(
@@ -199,7 +194,7 @@ def _host_lines() -> Column:
 def lines_of(runs: DataFrame, hits: DataFrame, bodies: DataFrame | None = None, pdns: DataFrame | None = None) -> DataFrame:
     """Rows (report, section, key, sub, line) of all reports, ordered by these.
 
-    `runs` has the columns of `RUN_SCHEMA`.  Hits, hosts and known names are written once; what follows reads them.
+    `runs` has the columns of `RUN_SCHEMA`.  Hits, hosts, known and associated names are written once; what follows reads them.
     """
     hits = materialize(hits, "report-hits")
     hosts = materialize(report_hosts(hits), "report-hosts")
@@ -209,7 +204,7 @@ def lines_of(runs: DataFrame, hits: DataFrame, bodies: DataFrame | None = None,
         filled = known.filter(F.lit(False)).select(*KEY, F.lit(0).alias("place"), "name")
     else:
         filled = fill_pdns(known, pdns, hosts, by=KEY)
-    shown, totals = associated_names(ptr, requested, filled, by=KEY)
+    shown, totals = associated_names(ptr, requested, filled, by=KEY, kept=lambda names: materialize(names, "report-associated"))
 
     sums = hosts.groupBy("report").agg(
         F.count("ip").alias("ips"), F.sum("scans").alias("scans"), F.count_if(F.size("ports") > 0).alias("with_ports"),
